@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwise.llm import best_record, layout_duplicates, leaks, lookalikes, shared_spans, wrong_encoding
+from spanwise.llm import best_record, layout_duplicates, leaks, lookalikes, near_duplicates, packing, page_prose, shared_spans, wrong_encoding
 from spanwise.runtime import is_blank, table
 
 MASTER = "master_table_xsum_n300_seed42_v4_dcq4_frozen"
@@ -97,6 +97,10 @@ def p4_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b)
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.near_pairs(table(spark, d, PROXY), "row_id", ["summary_ref", "document"], 0.6)
+
+
 def p6_restored(spark: SparkSession, d: str) -> DataFrame:
     return wrong_encoding.repair_fields(table(spark, d, PROXY), "row_id", ["summary_ref", "document"]).withColumnRenamed("id", "row_id")
 
@@ -105,6 +109,15 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_restored(spark, d).select("row_id", "field_name")
 
 
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    targets = [(r["pack_id"], r["capacity_tokens"]) for r in table(spark, d, "pack_targets").orderBy("pack_id").collect()]
+    return packing.pack(table(spark, d, "documents"), "doc_id", "text", targets).withColumnRenamed("id", "doc_id")
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p7_packed(spark, d), table(spark, d, "pack_targets"))
+
+
 def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     items = leaks.held_out(table(spark, d, MASTER))
     out = leaks.leaked(table(spark, d, "documents"), "doc_id", "text", items, "xsum_id", ("summary_ref_norm", "document_norm"))
@@ -115,6 +128,15 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_spans(spark, d).select("doc_id", "xsum_id").distinct()
 
 
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    model = page_prose.fit(table(spark, d, MASTER), "document_norm")
+    return page_prose.page_scores(table(spark, d, "documents"), "doc_id", "text", model).withColumnRenamed("id", "doc_id")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_scores(spark, d).where("share > 0.5").select("doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
