@@ -161,7 +161,8 @@ def crs(ssem_level: Column, smem_level: Column, sprob_level: Column) -> tuple[Co
     raw = 0.35 * ssem_level / 3 + 0.35 * smem_level / 3 + 0.30 * sprob_level / 3
     top = (ssem_level == 3) | (smem_level == 3) | (sprob_level == 3)
     final = F.when(top, F.greatest(raw, F.lit(0.60))).otherwise(raw)
-    return F.bround(raw, 6), F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), final)), 6)
+    clipped = F.when(raw.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), final)))  # greatest and least pass over nulls
+    return F.bround(raw, 6), F.bround(clipped, 6)
 
 
 def risk_level(c: Column) -> Column:
@@ -174,8 +175,8 @@ def confidence(slex: Column | None, ssem_level: Column, smem_level: Column, spro
     coverage = sum((F.when(x > 0, 1.0).otherwise(0.0) for x in levels), F.lit(0.0)) / 3
     mean = (ssem_level + smem_level + sprob_level) / 3
     variance = sum(((x - mean) * (x - mean) for x in levels), F.lit(0.0)) / 3
-    agreement = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - variance / 3))
-    parts = [coverage, agreement] + ([] if slex is None else [F.greatest(F.lit(0.0), F.least(F.lit(1.0), slex / 3))])
+    agreement = F.when(variance.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - variance / 3)))
+    parts = [coverage, agreement] + ([] if slex is None else [F.when(slex.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), slex / 3)))])
     pct = F.bround(100 * sum(parts, F.lit(0.0)) / len(parts)).cast("int")
     return {"coverage": coverage, "agreement": agreement, "confidence_pct": pct, "confidence_level": F.when(pct >= 70, "HIGH").otherwise("LOW")}
 

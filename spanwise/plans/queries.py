@@ -156,7 +156,7 @@ def build_summary(spark: SparkSession, d: str) -> DataFrame:
 def manifest_files(spark: SparkSession, d: str) -> DataFrame:
     """The first event of each downloaded file's hash, for replay."""
     m = table(spark, d, MANIFEST).where(F.col("sha256").isNotNull())
-    return corpus.first_per_key(m.select("sha256", "ts", "event_id", "path").distinct(), "sha256", ("ts", "event_id"))
+    return corpus.first_per_key(m.select("sha256", "ts", "event_id", "path").distinct(), "sha256", ("ts", "event_id")).drop("ts")
 
 
 def query_cache(spark: SparkSession, d: str) -> DataFrame:
@@ -166,7 +166,7 @@ def query_cache(spark: SparkSession, d: str) -> DataFrame:
     every = m.where("query is not null").select("query").distinct()
     with_now = m.where("query is not null").join(now)
     latest = corpus.cached(every, with_now.where(F.col("ts") >= F.col("now") - F.expr("interval 10 days")), "query", "ts", F.lit("2100-01-01").cast("timestamp"), 24 * 365 * 200)
-    return latest
+    return latest.withColumn("cached_at", F.date_format("cached_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
 def events_by_type(spark: SparkSession, d: str) -> DataFrame:
