@@ -1 +1,53 @@
-SQL: dict[str, str] = {}
+"""SQL of the training-data queries that SQL can express over whole tables."""
+
+_PROXY = "proxy_structured_merged"
+_MASTER = "master_table_xsum_n300_seed42_v4_dcq4_frozen"
+
+_WINDOWS = f"""
+WITH rec AS (
+  SELECT 'proxy' AS rec_table, CAST(row_id AS VARCHAR) AS rec_key, summary_ref AS t FROM {_PROXY}
+  UNION ALL SELECT 'master', xsum_id, summary_ref_norm FROM {_MASTER}),
+own AS (SELECT rec_table, rec_key, t, unnest(range(1, length(t) - 98)) AS pos FROM rec WHERE length(t) >= 100),
+win AS (SELECT rec_table, rec_key, pos, md5(substring(t, pos, 100)) AS w FROM own),
+many AS (SELECT w FROM (SELECT DISTINCT w, rec_table, rec_key FROM win) GROUP BY w HAVING count(*) > 1),
+hit AS (SELECT rec_table, rec_key, pos, pos - lag(pos) OVER (PARTITION BY rec_table, rec_key ORDER BY pos) AS gap FROM win WHERE w IN (SELECT w FROM many))
+"""
+
+_KEYED = rf"""
+WITH keyed AS (
+  SELECT *, regexp_replace(lower(summary_ref), '[^\p{{L}}\p{{N}}]+', '', 'g') AS k FROM {_PROXY} WHERE summary_ref IS NOT NULL),
+grp AS (SELECT k, min(row_id) AS first_id FROM keyed WHERE k <> '' GROUP BY k HAVING count(*) > 1)
+"""
+
+SQL: dict[str, str] = {
+    "p1_found": _WINDOWS + "SELECT DISTINCT rec_table, rec_key FROM hit",
+    "p1_spans": _WINDOWS + """SELECT h.rec_table, h.rec_key, CAST(length(r.t) AS INTEGER) AS n_chars, CAST(h.n AS BIGINT) AS n_shared
+FROM (SELECT rec_table, rec_key, sum(least(coalesce(gap, 100), 100)) AS n FROM hit GROUP BY 1, 2) h
+JOIN rec r ON r.rec_table = h.rec_table AND r.rec_key = h.rec_key""",
+    "p3_found": _KEYED + rf""",
+man AS (SELECT lower(sha256) AS sha, max(ts) AS latest FROM proxy_sources_manifest WHERE sha256 IS NOT NULL GROUP BY 1),
+tr AS (SELECT lower(trim(source)) AS s, max(trust) AS trust FROM source_trust GROUP BY 1),
+own AS (SELECT g.first_id, d.row_id, d.document, d.xsum_id, coalesce(tr.trust, 0) AS trust, d.source_sha256, man.latest
+  FROM keyed d JOIN grp g USING (k)
+  LEFT JOIN tr ON tr.s = regexp_replace(lower(d.source), '^\s+|\s+$', '', 'g')
+  LEFT JOIN man ON man.sha = lower(d.source_sha256) AND regexp_full_match(d.source_sha256, '[0-9a-fA-F]{{64}}')),
+doc AS (SELECT first_id, row_id, row_number() OVER (PARTITION BY first_id ORDER BY length(document) DESC, row_id) AS r FROM own WHERE regexp_matches(document, '\S')),
+xs AS (SELECT first_id, row_id, row_number() OVER (PARTITION BY first_id ORDER BY trust DESC, row_id) AS r FROM own WHERE regexp_full_match(xsum_id, '[0-9]{{8}}')),
+sh AS (SELECT first_id, row_id, row_number() OVER (PARTITION BY first_id ORDER BY latest DESC, row_id) AS r FROM own WHERE latest IS NOT NULL)
+SELECT g.first_id, coalesce(d.row_id, 0) AS document_row_id, coalesce(x.row_id, 0) AS xsum_row_id, coalesce(s.row_id, 0) AS sha_row_id
+FROM grp g LEFT JOIN doc d ON d.first_id = g.first_id AND d.r = 1 LEFT JOIN xs x ON x.first_id = g.first_id AND x.r = 1 LEFT JOIN sh s ON s.first_id = g.first_id AND s.r = 1""",
+    "p5_found": rf"""
+WITH f AS (SELECT 'summary_ref' AS field_name, row_id, summary_ref AS t FROM {_PROXY} UNION ALL SELECT 'document', row_id, document FROM {_PROXY}),
+w AS (SELECT DISTINCT field_name, row_id, unnest(regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+')) AS word FROM f WHERE t IS NOT NULL),
+n AS (SELECT field_name, row_id, count(*) AS n FROM w GROUP BY 1, 2),
+c AS (SELECT a.field_name, a.row_id AS row_a, b.row_id AS row_b, count(*) AS c FROM w a JOIN w b ON a.field_name = b.field_name AND a.word = b.word AND a.row_id < b.row_id GROUP BY 1, 2, 3)
+SELECT c.field_name, c.row_a, c.row_b FROM c JOIN n x ON x.field_name = c.field_name AND x.row_id = c.row_a JOIN n y ON y.field_name = c.field_name AND y.row_id = c.row_b
+WHERE c.c * 10 >= 6 * (x.n + y.n - c.c)""",
+    "p8_found": rf"""
+WITH it AS (SELECT xsum_id, unnest([summary_ref_norm, document_norm]) AS t FROM {_MASTER} WHERE coalesce(lower(trim(split)), '') <> 'train'),
+iw AS (SELECT xsum_id, regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+') AS w FROM it WHERE t IS NOT NULL),
+ig AS (SELECT DISTINCT xsum_id, array_to_string(w[i : i + 12], ' ') AS g FROM (SELECT xsum_id, w, unnest(range(1, len(w) - 11)) AS i FROM iw WHERE len(w) >= 13)),
+dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM documents WHERE text IS NOT NULL),
+dg AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM dw WHERE len(w) >= 13))
+SELECT DISTINCT doc_id, xsum_id FROM dg JOIN ig USING (g)""",
+}
