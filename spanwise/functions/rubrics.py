@@ -90,7 +90,7 @@ def wilson(count: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     centre = (p + z2 / (2 * m)) / denom
     margin = z / denom * F.sqrt(p * (1 - p) / m + z2 / (4 * m * m))
     low, high = F.greatest(F.lit(0.0), centre - margin), F.least(F.lit(1.0), centre + margin)
-    return F.coalesce(F.bround(low, 6), F.lit(0.0)), F.coalesce(F.bround(high, 6), F.lit(0.0))
+    return tuple(F.when(n > 0, F.bround(x, 6)).otherwise(0.0) for x in (low, high))
 
 
 def band_absolute(uar: Column, mned: Column) -> Column:
