@@ -119,3 +119,36 @@ def cached(queries: DataFrame, cache: DataFrame, key: str, ts: str, now: Column,
     """Queries with the latest cached entry that is young enough; ``hit`` tells whether there is one."""
     fresh = cache.where((F.col(ts) <= now) & (F.col(ts) >= now - F.make_dt_interval(hours=F.lit(int(hours))))).groupBy(key).agg(F.max(ts).alias("cached_at"))
     return queries.join(fresh, key, "left").withColumn("hit", F.col("cached_at").isNotNull())
+
+
+def id_matches(hints: DataFrame, key: str, hint_col: str, ids: DataFrame, id_col: str, most: int = 3) -> DataFrame:
+    """(key, id): the first ``most`` known ids, in their order, that stand as whole words in a text.
+
+    Texts explode to their distinct words and meet the ids in an equi-join, instead of one pattern an id.
+    """
+    found = hints.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(hint_col), F.lit(r"[a-z0-9_]+"), F.lit(0)))).alias("word"))
+    known = ids.select(F.col(id_col).alias("id"), F.lower(id_col).alias("word")).distinct()
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("id"))
+    return found.join(known, "word").select(key, "id").withColumn("_r", rank).where(F.col("_r") <= most).drop("_r")
+
+
+def head_and_tail(c: Column, n: int = 8192) -> Column:
+    """The first and last ``n`` characters of a long text, marked; a short one whole."""
+    return F.when(F.length(c) > n, F.concat(F.left(c, F.lit(n)), F.lit("\n\n---TAIL---\n\n"), F.right(c, F.lit(n)))).otherwise(c)
+
+
+def missing_samples(items: DataFrame, key: str, done: DataFrame, n: int) -> DataFrame:
+    """(key, idx) of the samples 0..n-1 that a stored run lacks."""
+    grid = items.select(key, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("idx"))
+    return grid.join(done.select(key, "idx"), [key, "idx"], "left_anti")
+
+
+def repaired_json(raw: Column) -> Column:
+    """A JSON text without commas before closing brackets."""
+    return F.regexp_replace(raw, r",\s*([}\]])", "$1")
+
+
+def record_id(text: Column) -> Column:
+    """The eight-digit item id that a text names, by rules in order: a field, a file name, any number of eight digits."""
+    rules = [F.regexp_extract(text, r'(?i)"?(?:xsum_)?id"?\s*[:=]\s*"?(\d{8})\b', 1), F.regexp_extract(text, r"(\d{8})\.(?:txt|json|summary)\b", 1), F.regexp_extract(text, r"\b(\d{8})\b", 1)]
+    return F.coalesce(*[F.nullif(r, F.lit("")) for r in rules])

@@ -175,6 +175,44 @@ def events_by_type(spark: SparkSession, d: str) -> DataFrame:
     return m.groupBy("type", F.date_format("at", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
 
 
+def query_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The benchmark's ids that the manifest's queries name."""
+    hints = table(spark, d, MANIFEST).where("query is not null").select("event_id", "query").distinct()
+    return corpus.id_matches(hints, "event_id", "query", _master(spark, d), "xsum_id").select("event_id", F.col("id").alias("xsum_id"))
+
+
+def record_ids(spark: SparkSession, d: str) -> DataFrame:
+    """How many raw lines of each file name an item, after repair of trailing commas, and how many items."""
+    raw = table(spark, d, "raw_corpus_records").where("raw is not null").select("path", corpus.record_id(corpus.repaired_json(F.col("raw"))).alias("id"))
+    return raw.groupBy("path").agg(F.count("*").alias("n"), F.count("id").alias("named"), F.count_distinct("id").alias("ids"))
+
+
+def text_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """Length statistics and repeats of the master table's texts."""
+    cols = ("document", "document_norm", "summary_ref", "summary_ref_norm", "prefix_ref")
+    long = _master(spark, d).select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("t")) for c in cols])).alias("x")).select("x.*").where("t is not null")
+    n = F.length("t")
+    q = F.percentile(n, [0.1, 0.5, 0.9])
+    out = long.groupBy("field").agg(F.count("*").alias("n"), F.min(n).cast("bigint").alias("shortest"), F.max(n).cast("bigint").alias("longest"), F.round(F.avg(n), 6).alias("mean"), q.alias("q"), (F.count("*") - F.count_distinct("t")).alias("repeats"))
+    return out.select("field", "n", "shortest", "longest", "mean", *[F.round(F.col("q")[k], 6).alias(f"p{p}") for k, p in enumerate((10, 50, 90))], "repeats")
+
+
+def span_histogram(spark: SparkSession, d: str) -> DataFrame:
+    """Histogram of the longest spans, with quartiles by level beside each bar's level counts."""
+    bar = F.least(F.floor(F.col("max_span_len") / 10), F.lit(29)).cast("bigint")
+    x = slex_items(spark, d)
+    quart = x.groupBy("slex").agg(F.percentile("max_span_len", [0.25, 0.5, 0.75]).alias("q"))
+    bars = x.groupBy("slex", bar.alias("bar")).agg(F.count("*").alias("n"))
+    return bars.join(quart, "slex").select("slex", "bar", "n", *[F.round(F.col("q")[k], 6).alias(f"q{k + 1}") for k in range(3)])
+
+
+def missing_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Samples of the grid of six an item that aren't distinct from an earlier one, as a resumed run would fetch them again."""
+    s = _samples(spark, d).where(F.col("model_id") == MODELS[-1])
+    kept = s.groupBy("item", "output").agg(F.min("idx").alias("idx"))
+    return corpus.missing_samples(_items(spark, d), "item", kept, 6).select("item", F.col("idx").cast("bigint").alias("idx"))
+
+
 def master_prefixes(spark: SparkSession, d: str) -> DataFrame:
     """Openings made anew, the suffix that they leave, and words in a control order."""
     c = tx.collapse(F.coalesce("summary_ref_norm", F.lit("")))
@@ -386,7 +424,7 @@ def report_rows(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         slex_items, slex_aggregate, slex_candidates, slex_documents, slex_runs, canonical_text, document_lines, summary_like_lines, json_summaries, source_files, search_queries, merge_stats, source_counts, build_summary,
-        manifest_files, query_cache, events_by_type, master_prefixes, validate_items, bdq_options, bcq_options, dcq_bias, dcq_scores, mem_items, mem_summary, mem_levels, line_distances, stab_items, stab_summary,
+        manifest_files, query_ids, record_ids, text_lengths, span_histogram, missing_samples, query_cache, events_by_type, master_prefixes, validate_items, bdq_options, bcq_options, dcq_bias, dcq_scores, mem_items, mem_summary, mem_levels, line_distances, stab_items, stab_summary,
         length_baseline, length_contrast, risk_items, risk_models, risk_distribution, risk_ranking, risk_flagged, match_overlap, match_patterns, report_rows,
     ]
     modes = {f"dedupe_{m}": _deduped(m) for m in ("none", "summary_norm", "doc_summary_hash", "source", "record_md5")}

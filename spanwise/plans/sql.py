@@ -311,3 +311,13 @@ SELECT x.model_id AS a, y.model_id AS b, coalesce(n_both, 0) AS n_both, x.n + y.
 
 SQL["report_rows"] = f"""SELECT r.model_id, crs, risk_level, confidence_pct, cps, kappa, ssem_reason, em_rate, ne_rate, distance_mean, uar_mean, mned_mean, sprob_aggregate, {_LABEL.format('slex_aggregate')} AS slex_label, n_items AS lexical_items
 FROM ({SQL['risk_models']}) r LEFT JOIN ({SQL['dcq_scores']}) q ON q.model_id = r.model_id LEFT JOIN ({SQL['mem_summary']}) m ON m.model_id = r.model_id LEFT JOIN ({SQL['stab_summary']}) s ON s.model_id = r.model_id, ({SQL['slex_aggregate']}) l"""
+SQL["query_ids"] = f"""SELECT event_id, xsum_id FROM (SELECT event_id, xsum_id, row_number() OVER (PARTITION BY event_id ORDER BY xsum_id) AS r FROM (SELECT DISTINCT event_id, m.xsum_id FROM
+(SELECT event_id, unnest(regexp_extract_all(lower(query), '[a-z0-9_]+')) AS word FROM {E} WHERE query IS NOT NULL) q JOIN {M} m ON lower(m.xsum_id) = q.word)) WHERE r <= 3"""
+SQL["record_ids"] = rf"""WITH r AS (SELECT path, regexp_replace(raw, ',\s*([}}\]])', '\1', 'g') AS raw FROM raw_corpus_records WHERE raw IS NOT NULL),
+i AS (SELECT path, coalesce(nullif(regexp_extract(raw, '(?i)"?(?:xsum_)?id"?\s*[:=]\s*"?(\d{{8}})\b', 1), ''), nullif(regexp_extract(raw, '(\d{{8}})\.(?:txt|json|summary)\b', 1), ''), nullif(regexp_extract(raw, '\b(\d{{8}})\b', 1), '')) AS id FROM r)
+SELECT path, count(*) AS n, count(id) AS named, count(DISTINCT id) AS ids FROM i GROUP BY 1"""
+SQL["text_lengths"] = f"""WITH x AS (SELECT unnest(['document', 'document_norm', 'summary_ref', 'summary_ref_norm', 'prefix_ref']) AS field, unnest([document, document_norm, summary_ref, summary_ref_norm, prefix_ref]) AS t FROM {M})
+SELECT field, count(*) AS n, min(length(t)) AS shortest, max(length(t)) AS longest, round(avg(length(t)), 6) AS mean, {median('length(t)', .1)} AS p10, {median('length(t)', .5)} AS p50, {median('length(t)', .9)} AS p90, count(*) - count(DISTINCT t) AS repeats FROM x WHERE t IS NOT NULL GROUP BY 1"""
+SQL["span_histogram"] = _SPANS + f"""SELECT b.slex, bar, n, q1, q2, q3 FROM (SELECT slex, CAST(least(max_span_len // 10, 29) AS BIGINT) AS bar, count(*) AS n FROM sx GROUP BY 1, 2) b
+JOIN (SELECT slex, {median('max_span_len', .25)} AS q1, {median('max_span_len', .5)} AS q2, {median('max_span_len', .75)} AS q3 FROM sx GROUP BY 1) q ON q.slex = b.slex"""
+SQL["missing_samples"] = _STAB + "SELECT item, idx FROM (SELECT item, idx, row_number() OVER (PARTITION BY item, output ORDER BY idx) AS r FROM sa WHERE model_id = 'model_c') WHERE r > 1"

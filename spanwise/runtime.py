@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -66,7 +67,9 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if str(root.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_spanwise_sent", False):
         return
-    with tempfile.TemporaryDirectory() as d:
-        shutil.make_archive(f"{d}/spanwise_package", "zip", root.parent, root.name)
-        sc.addPyFile(f"{d}/spanwise_package.zip")
+    # the driver serves the archive to executors for as long as it lives
+    d = tempfile.mkdtemp(prefix="spanwise-")
+    atexit.register(shutil.rmtree, d, True)
+    shutil.make_archive(f"{d}/spanwise_package", "zip", root.parent, root.name)
+    sc.addPyFile(f"{d}/spanwise_package.zip")
     sc._spanwise_sent = True
