@@ -40,7 +40,7 @@ LOOKALIKE = dict(zip(_OTHER, _LATIN, strict=True)) | {"Һ": "H"}
 _IGNORABLE = "\u034f\u115f\u1160\u17b4\u17b5\u3164\uffa0"
 #: Styled forms start here; the signs of Latin-1 below are ordinary typography.
 _FROM = 0x100
-_KEEP = set("…‥™℠№ŉ´¨˘˙˚˛˜˝΄΅·ʹ;")
+_KEEP = set("…‥‑″‴‶‷⁗™℠№ŉ´¨˘˙˚˛˜˝΄΅·ʹ;")
 _TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}\p{Cf}\u034f\u115f\u1160\u17b4\u17b5\u3164\uffa0]+")
 _WORDS = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+"
 SHARDS = 64
