@@ -51,14 +51,17 @@ def is_blank(c: Column) -> Column:
     return c.isNull() | ~c.rlike(r"(?U)[^\s\x1c-\x1f\u0085]")
 
 
-def hot_split(rows: DataFrame, counts: DataFrame, key: str, share: int = 4096) -> tuple[DataFrame, DataFrame]:
-    """``counts(key, n, ...)`` as (hot, rest): hot keys hold over one ``share``-th of the counted rows.
+def hot_join(left: DataFrame, right: DataFrame, key: str, share: int = 4096) -> DataFrame:
+    """Inner join with a table (key, n, ...) of one row a key, n being the rows of ``left`` that have it.
 
-    At most ``share`` keys can do so, which bounds what a caller broadcasts.
+    Keys that hold over one ``share``-th of all rows are hot. At most ``share`` keys can, so they are
+    broadcast and their rows stay where they are; all other rows take one shuffled join. The right side is
+    read several times and should be materialised.
     """
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"]
+    total = right.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"]
     limit = max(total // share, 1000)
-    return counts.where(F.col("n") > limit), counts.where(F.col("n") <= limit)
+    hot, rest = F.broadcast(right.where(F.col("n") > limit)), right.where(F.col("n") <= limit)
+    return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(rest, key))
 
 
 def ship(spark: SparkSession) -> None:
