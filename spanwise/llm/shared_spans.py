@@ -12,8 +12,8 @@ into components, since the result is a count for each record.
 Plan: pass 1 keeps the minima of each distinct text (about 2 for every half window); a partially
 aggregated count of distinct texts a minimum drops those that occur in one text only. Pass 2 hashes
 the remaining windows alone, and counts them in the same way. Copies of a whole text are never
-compared with each other, and no two records are ever paired. Hot minima and windows are spread
-by salted lookups.
+compared with each other, and no two records are ever paired. Hot minima, windows and
+texts are split off by their counts.
 """
 
 from __future__ import annotations
@@ -26,8 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwise.llm._windows import code_points, window_hashes, window_minima
-from spanwise.llm.best_record import salted_lookup
-from spanwise.runtime import materialize
+from spanwise.runtime import hot_join, materialize
 
 #: Characters that are hashed at a time.
 CHUNK = 1 << 19
@@ -96,8 +95,8 @@ def shared_spans(records: DataFrame, keys: tuple[str, ...], text_col: str, lengt
     seen = materialize(base.mapInArrow(first_pass, f"{id_fields}, tid long, n_chars int, minima array<long>"))
     texts = seen.groupBy("tid").agg(F.count("*").alias("copies"), F.min(F.struct(*ids)).alias("rep"))
     minima = seen.select("tid", F.explode("minima").alias("m"))
-    common = minima.groupBy("m").agg(F.min("tid").alias("a"), F.max("tid").alias("b")).where("a <> b").select("m", F.lit(True).alias("common"))
-    wanted = salted_lookup(minima.distinct(), common, "m", "tid").where("common").groupBy("tid").agg(F.collect_list("m").alias("minima"))
+    common = materialize(minima.groupBy("m").agg(F.min("tid").alias("a"), F.max("tid").alias("b"), F.count("*").alias("n")).where("a <> b").select("m", "n"))
+    wanted = hot_join(minima, common, "m").groupBy("tid").agg(F.collect_set("m").alias("minima"))
     todo = wanted.join(texts, "tid").select("minima", "tid", *[F.col(f"rep.{x}").alias(x) for x in ids])
     located = base.join(todo.withColumnRenamed("tid", "_tid"), ids).where("tid = _tid").select("tid", "text", "minima")
 
@@ -124,11 +123,11 @@ def shared_spans(records: DataFrame, keys: tuple[str, ...], text_col: str, lengt
 
     windows = materialize(located.mapInArrow(second_pass, "tid long, hashes array<long>, places array<int>"))
     each = windows.select("tid", F.explode(F.arrays_zip("hashes", "places")).alias("w")).select("tid", F.col("w.hashes").alias("h"), F.col("w.places").alias("at"))
-    common = each.groupBy("h").agg(F.min("tid").alias("a"), F.max("tid").alias("b")).where("a <> b").select("h", F.lit(True).alias("common"))
-    hits = salted_lookup(each, common, "h", "tid").where("common")
+    common = materialize(each.groupBy("h").agg(F.min("tid").alias("a"), F.max("tid").alias("b"), F.count("*").alias("n")).where("a <> b").select("h", "n"))
+    hits = hot_join(each, common, "h")
     gap = F.col("at") - F.lag("at").over(Window.partitionBy("tid").orderBy("at"))
     covered = hits.select("tid", F.least(F.coalesce(gap, F.lit(length)), F.lit(length)).alias("new")).groupBy("tid").agg(F.sum("new").alias("covered"))
-    state = texts.select("tid", "copies").join(covered, "tid", "left").where("copies > 1 or covered is not null")
-    out = salted_lookup(seen.drop("minima").withColumn("_spread", F.xxhash64(*ids)), state, "tid", "_spread").where("copies is not null")
-    shared = F.when(F.col("copies") > 1, F.col("n_chars").cast("long")).otherwise(F.col("covered"))
+    state = materialize(texts.select("tid", F.col("copies").alias("n")).join(covered, "tid", "left").where("n > 1 or covered is not null"))
+    out = hot_join(seen.drop("minima"), state, "tid")
+    shared = F.when(F.col("n") > 1, F.col("n_chars").cast("long")).otherwise(F.col("covered"))
     return out.select(*[F.col(x).alias(c) for x, c in zip(ids, keys, strict=True)], "n_chars", shared.cast("long").alias("n_shared"))
