@@ -94,7 +94,7 @@ def candidate_regex() -> str:
         for f in firsts:
             by_second.setdefault(frozenset(g[1] for g in part if g[0] == f), set()).add(f)
         parts += [f"[{esc(fs)}][{esc(ss)}]" for ss, fs in sorted(by_second.items(), key=lambda x: sorted(x[1]))]
-    return "|".join(parts)
+    return rf"(?=[^\x00-\x7f])(?:{'|'.join(parts)})"
 
 
 def spans(text: str) -> list[tuple[int, int, str | None]]:
