@@ -18,7 +18,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanwise.runtime import hot_split, materialize
+from spanwise.runtime import hot_join, materialize
 
 HOT_SHARE = 4096
 _NOT_ALNUM = re.compile(r"[\W_]+")
@@ -86,10 +86,7 @@ def members(df: DataFrame, id_col: str, key: Column) -> DataFrame:
     """(first_id, id) of every record whose group has two rows or more, the first one included."""
     rows = materialize(keyed(df, id_col, key))
     counts = materialize(groups(rows).where("n > 1"))
-    hot, rest = hot_split(rows, counts, "key", HOT_SHARE)
-    hot = F.broadcast(hot.select("key", "first_id"))
-    few = rows.join(rest.select("key", "first_id"), "key")
-    return rows.join(hot, "key").unionByName(few).select("first_id", "id")
+    return hot_join(rows, counts, "key", HOT_SHARE).select("first_id", "id")
 
 
 def copies(df: DataFrame, id_col: str, key: Column) -> DataFrame:
