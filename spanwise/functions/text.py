@@ -31,8 +31,10 @@ def _folded(c: str) -> str:
 
 #: Characters that decompose into one ASCII character and marks, by rule.
 _SINGLE = [c for c in map(chr, [*range(0xA1, 0x3400), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800)]) if len(_folded(c)) == 1]
-ACCENTED = "".join(_SINGLE)
-PLAIN = "".join(map(_folded, _SINGLE))
+_LONGER = [(a, b) for a, b in (*LEXICAL_REPLACEMENTS, *((x, _folded(x)) for x in JOINED)) if len(b) > 1]
+_SHORTER = {a: b for a, b in LEXICAL_REPLACEMENTS if len(b) == 1}
+ACCENTED = "".join([*_SHORTER, *(c for c in _SINGLE if c not in _SHORTER)])
+PLAIN = "".join([*_SHORTER.values(), *(_folded(c) for c in _SINGLE if c not in _SHORTER)])
 _SPACE = r"[\s\x1c-\x1f\u0085   -     　]+"
 
 
@@ -48,8 +50,9 @@ def canonical(c: Column) -> Column:
     the JVM; ``canonical_full`` decomposes the few others too, in a UDF.
     """
     out = F.coalesce(c, F.lit(""))
-    for a, b in (*LEXICAL_REPLACEMENTS, *((x, _folded(x)) for x in JOINED)):
-        out = F.replace(out, F.lit(a), F.lit(b))
+    spelt = F.reduce(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _LONGER]), out, lambda acc, p: F.replace(acc, p["a"], p["b"]))
+    # one step a pair instead of a chain of calls, which would make a method too long to be compiled
+    out = F.when(out.rlike("[" + "".join(a for a, _ in _LONGER) + "]"), spelt).otherwise(out)
     out = F.translate(out, ACCENTED, PLAIN)
     return collapse(F.lower(F.regexp_replace(out, r"[^\x00-\x7F]", "")))
 

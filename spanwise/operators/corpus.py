@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwise.functions.text import looks_like_summary, normalize_for_dedupe, normalize_line
+from spanwise.runtime import spread
 
 # Fields of a record that may hold a summary, in order of preference; names of files of the benchmark itself.
 SUMMARY_FIELDS = ("summary", "target", "reference", "highlights", "output", "prediction", "decoded", "text")
@@ -17,7 +18,8 @@ SPECIAL_FILES = ("xsum_test.csv", "xsum_train.csv", "xsum_validation.csv", "xsum
 def text_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, line_no, line, keep): every line in its order, whether it looks like a summary."""
     parts = F.posexplode(F.split(F.col(text_col), r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\u0085  ]"))
-    out = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), parts.alias("line_no", "raw"))
+    rows = spread(df.where(F.col(text_col).isNotNull()).select(id_col, text_col))
+    out = rows.select(F.col(id_col).alias("id"), parts.alias("line_no", "raw"))
     out = out.select("id", "line_no", normalize_line(F.col("raw")).alias("line")).where("line <> ''")
     return out.withColumn("keep", looks_like_summary(F.col("line")))
 

@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from spanwise.functions import rubrics
 from spanwise.functions.distance import common_substring
 from spanwise.functions.text import canonical, ngrams, tokens
+from spanwise.runtime import spread
 
 K, PER_LINE, MAX_CANDIDATES = 13, 200, 200
 
 
 def lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(line, text): lines in canonical form; null and blank ones are dropped."""
-    return df.select(F.col(id_col).alias("line"), canonical(F.col(text_col)).alias("text")).where("text <> ''")
+    rows = spread(df.select(F.col(id_col).alias("line"), F.col(text_col).alias("raw")))
+    return rows.select("line", canonical(F.col("raw")).alias("text")).where("text <> ''")
 
 
 def grams(df: DataFrame, key: str, k: int = K, limit: int | None = None) -> DataFrame:
@@ -41,11 +43,13 @@ def exposure(items: DataFrame, corpus: DataFrame, k: int = K, per_line: int = PE
     """(item, max_span_len, ngram_hits, proxy_count, slex) of every item; spans are measured on candidates alone."""
     found = candidates(items, corpus, k, per_line, most)
     pairs = found.join(items.withColumnRenamed("text", "item_text"), "item").join(corpus.withColumnRenamed("text", "line_text"), "line")
-    spans = pairs.select("item", common_substring("item_text", "line_text").alias("span"))
-    best = spans.groupBy("item").agg(F.max("span").alias("max_span_len"), F.count_if(F.col("span") >= 50).alias("proxy_count"))
-    seen = grams(corpus, "line", k, per_line).join(found, "line").select("item", "gram").distinct()
-    shared = grams(items, "item", k).join(seen, ["item", "gram"]).groupBy("item").agg(F.count("*").alias("ngram_hits"))
-    out = items.select("item").join(best, "item", "left").join(shared, "item", "left").fillna(0, ["max_span_len", "proxy_count", "ngram_hits"])
+    pairs = pairs.select("item", common_substring("item_text", "line_text").alias("span"), tokens(F.col("item_text")).alias("a"), tokens(F.col("line_text")).alias("b"))
+    shared = F.array_intersect(ngrams(F.col("a"), k), ngrams(F.col("b"), k, per_line))
+    # an item's shared grams are some of its own, however many lines it meets
+    best = pairs.select("item", "span", shared.alias("g")).groupBy("item").agg(
+        F.max("span").alias("max_span_len"), F.count_if(F.col("span") >= 50).alias("proxy_count"), F.size(F.array_distinct(F.flatten(F.collect_set("g")))).cast("bigint").alias("ngram_hits")
+    )
+    out = items.select("item").join(best, "item", "left").fillna(0, ["max_span_len", "proxy_count", "ngram_hits"])
     return out.select("item", F.col("max_span_len").cast("bigint").alias("max_span_len"), "ngram_hits", "proxy_count", rubrics.slex_item(F.col("max_span_len"), F.col("ngram_hits")).cast("bigint").alias("slex"))
 
 

@@ -16,7 +16,7 @@ from spanwise.functions import rubrics
 from spanwise.functions import text as tx
 from spanwise.functions.distance import char_distance
 from spanwise.operators import corpus, fusion, lexical, probes
-from spanwise.runtime import table
+from spanwise.runtime import spread, table
 
 MASTER = "master_table_xsum_n300_seed42_v4_dcq4_frozen"
 PROXY = "proxy_structured_merged"
@@ -85,7 +85,7 @@ def slex_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def canonical_text(spark: SparkSession, d: str) -> DataFrame:
-    rows = _proxy(spark, d).select("row_id", tx.canonical(F.col("summary_ref")).alias("canonical"))
+    rows = spread(_proxy(spark, d).select("row_id", "summary_ref")).select("row_id", tx.canonical(F.col("summary_ref")).alias("canonical"))
     rows = rows.withColumn("w", tx.tokens(F.col("canonical")))
     return rows.select("row_id", "canonical", F.size("w").cast("bigint").alias("n_tokens"), F.size(tx.ngrams(F.col("w"), 13)).cast("bigint").alias("n_grams"), tx.token_estimate(F.col("canonical")).cast("bigint").alias("estimate"))
 
@@ -288,7 +288,7 @@ def _completions(spark: SparkSession, d: str) -> DataFrame:
     m = _master(spark, d).select(F.col("xsum_id").alias("item"), tx.canonical(F.col("summary_ref_norm")).alias("reference"), tx.canonical(F.col("prefix_ref")).alias("prefix"))
     m = m.select("item", "prefix", tx.gold_suffix(F.col("reference"), F.col("prefix")).alias("suffix"))
     head = lambda c: F.array_join(F.slice(F.split(c, " "), 1, 8), " ")
-    lines = _proxy(spark, d).select("row_id", tx.canonical(F.col("summary_ref")).alias("line")).where("line <> ''").withColumn("head", head(F.col("line")))
+    lines = spread(_proxy(spark, d).select("row_id", "summary_ref")).select("row_id", tx.canonical(F.col("summary_ref")).alias("line")).where("line <> ''").withColumn("head", head(F.col("line")))
     models = _models(spark).withColumn("k", F.locate("_", "model_id") * 0 + F.ascii(F.right("model_id", F.lit(1))) - 97)
     found = m.where("prefix <> ''").withColumn("head", head(F.col("prefix"))).join(lines, "head").where(F.startswith("line", F.col("prefix"))).join(models)
     mine = found.where(F.pmod(F.col("row_id"), F.lit(3)) == F.col("k"))
