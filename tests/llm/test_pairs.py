@@ -78,6 +78,13 @@ def test_near_pairs(spark, theta, rare, monkeypatch):
     assert near_duplicates.near_pairs(df.limit(0), "id", ["text"], theta).count() == 0
 
 
+def test_fields_that_hold_the_same_texts(spark):
+    texts = [" ".join(f"w{k}x{i}" for i in range(12)) + end for k in range(40) for end in ("", " edited")]
+    df = spark.createDataFrame([(k, t, t) for k, t in enumerate(texts)], "id long, summary string, document string")
+    got = {(r["field_name"], r["row_a"], r["row_b"]) for r in near_duplicates.near_pairs(df, "id", ["summary", "document"], 0.6).collect()}
+    assert got == {(f, a, b) for f in ("summary", "document") for a, b in near_by_hand(list(enumerate(texts)), 0.6)}
+
+
 def test_hot_class_is_cut_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_duplicates, "CLASS_BLOCK", 4)
     rows = [(k, "one two three four five six") for k in range(15)] + [(99, "one two three four five six seven")]
