@@ -5,6 +5,11 @@ are taken for it by mistake, once and twice over. The garbled sequences go into
 automaton; only matched spans are replaced, so correct text beside them stays as it is. Bytes of a
 single-byte encoding read as UTF-8 leave U+FFFD, which shows the damage but can't be restored.
 
+All other assigned characters are found by the structure of UTF-8: the image of a lead byte, then those of
+as many continuation bytes as it asks for. Sequences that correct text may hold as well (a letter and
+the quotes, dashes or letters after it) count only beside another span or inside a word. What is
+restored is searched once more, so that text garbled by two different encodings comes back as well.
+
 A pair of single-byte encodings (Windows-1252 read as Mac Roman, say) maps letters to letters one by
 one and leaves no sequence to find; only its C1 control characters are evident, and are restored.
 
@@ -14,6 +19,8 @@ the few survivors go through Arrow batches to the automaton. No shuffle.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -31,6 +38,10 @@ FIRST = "”’"
 #: Quotes, dashes and the like, which may follow a genuine capital.
 _TYPOGRAPHIC = "‘’“”‚„–—…•†‡™"
 LOST = "�"
+# What may follow a letter in correct text, beside other letters.
+_FOLLOWS = frozenset("‘’“”…–—«»‹›™®©°²³¹·¡¿\xa0\xad")
+# Lead bytes by the number of continuation bytes.
+_LEADS = {1: range(0xC2, 0xE0), 2: range(0xE0, 0xF0), 3: range(0xF0, 0xF5)}
 
 
 def _decode(data: bytes, encoding: str) -> str:
@@ -79,6 +90,95 @@ def _automaton() -> ahocorasick.Automaton:
     return a
 
 
+@lru_cache(maxsize=1)
+def _images() -> dict[str, tuple[dict[int, str], str]]:
+    """For each encoding, the images of the lead bytes by their number of continuation bytes, and of those."""
+    return {e: ({n: _decode(bytes(b), e) for n, b in _LEADS.items()}, _decode(bytes(range(0x80, 0xC0)), e)) for e in ENCODINGS}
+
+
+@lru_cache(maxsize=1)
+def _structures() -> list[tuple[str, re.Pattern[str], dict[str, int]]]:
+    """(encoding, pattern of whole sequences, byte of each image)."""
+    out = []
+    for e, (leads, rest) in _images().items():
+        sequences = "|".join(f"[{re.escape(leads[n])}][{re.escape(rest)}]{{{n}}}" for n in _LEADS)
+        out.append((e, re.compile(f"(?=({sequences}))"), {_decode(bytes([b]), e): b for b in range(0x80, 0x100)}))
+    return out
+
+
+def _sure(g: str, original: str, encoding: str) -> bool:
+    """Whether a sequence shows damage by itself, wherever it stands."""
+    if original == LOST or original >= "\U0001f000" and len(g) == 4 and (encoding != "cp1251" or g[1] == "џ"):
+        return True
+    if encoding == "cp1251" or len(g) == 2:
+        return False
+    if "\u2000" <= original < "\u3000" or original >= "\uf000":
+        return True  # no word ends in the image of these lead bytes
+    # feminine and masculine ordinals are letters to Unicode
+    return not all(x in _FOLLOWS or x.isalpha() and x not in "ªº" and encoding not in ("mac_roman", "cp437", "cp850") for x in g[1:])
+
+
+def _inside(text: str, s: int, e: int, encoding: str) -> bool:
+    """Whether a doubtful sequence stands where correct text has no such letters and signs: inside a word."""
+    before, after = text[s - 1 : s] if s else "", text[e : e + 1]
+    if "\u2500" <= text[s] <= "\u259f":
+        return before.islower() or after.islower()  # a box touches no letter
+    if encoding == "cp1251" or text[s + 1].isspace() or not text[s].isalpha():
+        return False
+    if e - s == 2:
+        return text[s].isupper() and (before.islower() or after.islower() and not before.isalpha() and not text[s + 1].isalpha())
+    return text[s + 1] == "»" and after.islower()
+
+
+def _structural(text: str, known: list[tuple[int, int, str | None]]) -> list[tuple[int, int, str | None]]:
+    """Known spans and those by structure, left to right; of two that overlap, the known one stands unless the other begins before it and is longer."""
+    found: dict[int, tuple[int, str, str]] = {}
+    for encoding, pattern, byte in _structures():
+        for m in pattern.finditer(text):
+            s, g = m.start(), m.group(1)
+            try:
+                original = bytes(byte[x] for x in g).decode()
+            except UnicodeDecodeError:
+                continue
+            if unicodedata.category(original) == "Cn" or s in found and found[s][0] >= s + len(g):
+                continue
+            found[s] = (s + len(g), original, encoding)
+    if not found:
+        return known
+    new: list[tuple[int, int, str, str]] = []
+    k = 0
+    for s, (e, original, encoding) in sorted(found.items()):
+        if new and new[-1][1] > s:
+            continue
+        while k < len(known) and known[k][1] <= s:
+            k += 1
+        over = []
+        for x in known[k:]:
+            if x[0] >= e:
+                break
+            if not new or x[0] >= new[-1][1]:
+                over.append(x)
+        if all(s <= a and b - a < e - s and (b <= e or _sure(text[s:e], original, encoding)) for a, b, _ in over):
+            new.append((s, e, original, encoding))
+    own = [_sure(text[s:e], o, c) or _inside(text, s, e, c) for s, e, o, c in new]
+    starts, ends = {a for a, _, _ in known}, {b for _, b, _ in known}
+    out = []
+    for j, (s, e, o, c) in enumerate(new):
+        ok = own[j]
+        if not ok:
+            left = j > 0 and new[j - 1][1] == s and new[j - 1]
+            right = j + 1 < len(new) and new[j + 1][0] == e and new[j + 1]
+            beside = [x for x in (left, right) if x]
+            ok = s in ends or e in starts or bool(beside)
+            if ok and c == "cp1251":
+                # letters throughout may be a word in capitals, or of Ukrainian
+                ok = any(not x.isalpha() for a, b in [(s, e), *[(x[0], x[1]) for x in beside]] for x in text[a:b])
+        if ok:
+            out.append((s, e, None if o == LOST else o))
+    kept = [x for x in known if not any(s < x[1] and x[0] < e for s, e, _ in out)] if out else known
+    return sorted([*kept, *out])
+
+
 @lru_cache(maxsize=1)
 def candidate_regex() -> str:
     """Matches every text that holds a pattern, by the pairs of its first two characters' classes; few others."""
@@ -94,6 +194,8 @@ def candidate_regex() -> str:
         for f in firsts:
             by_second.setdefault(frozenset(g[1] for g in part if g[0] == f), set()).add(f)
         parts += [f"[{esc(fs)}][{esc(ss)}]" for ss, fs in sorted(by_second.items(), key=lambda x: sorted(x[1]))]
+    for leads, rest in _images().values():
+        parts += [f"[{esc(leads[n])}]" + f"[{esc(rest)}]" * n for n in _LEADS]
     return rf"(?=[^\x00-\x7f])(?:{'|'.join(parts)})"
 
 
@@ -109,7 +211,7 @@ def spans(text: str) -> list[tuple[int, int, str | None]]:
         if g in _cyrillic() and not (k and raw[k - 1][1] == s and text[raw[k - 1][0] : s] in _cyrillic() or k + 1 < len(raw) and raw[k + 1][0] == e and text[e : raw[k + 1][1]] in _cyrillic()):
             continue
         out.append((s, e, c))
-    return out
+    return _structural(text, out)
 
 
 def repair(text: str) -> tuple[str, int, int]:
@@ -117,15 +219,42 @@ def repair(text: str) -> tuple[str, int, int]:
     found = spans(text)
     if not found:
         return text, 0, 0
-    parts, at, lost = [], 0, 0
-    for s, e, c in found:
-        parts += [text[at:s], text[s:e] if c is None else c]
-        lost += c is None
+    parts, at, lost, first = [], 0, 0, 0
+    whole: list[str] = []  # originals side by side
+    for s, e, c in [*found, (len(text), len(text), None)]:
+        if whole and (s > at or c is None):
+            parts.append(_again(text[first:at], "".join(whole)))
+            whole = []
+        parts.append(text[at:s])
+        if c is None:
+            parts.append(text[s:e])
+            lost += s < e
+        else:
+            first = first if whole else s
+            whole.append(c)
         at = e
-    parts.append(text[at:])
     return "".join(parts), len(found) - lost, lost
 
 
+def _undone(text: str) -> Iterator[str]:
+    """What the text was before each encoding that may have garbled the whole of it."""
+    for _, _, byte in _structures():
+        try:
+            yield bytes(byte[x] if x in byte else ord(x) if x < "\x80" else 256 for x in text).decode()
+        except ValueError:
+            continue
+
+
+def _again(garbled: str, restored: str) -> str:
+    """Restored characters side by side, without what a first wrong encoding had made of them."""
+    if len(restored) > 1:
+        for once in _undone(garbled):
+            for twice in _undone(once):
+                if twice != once and all(unicodedata.category(x) not in ("Cn", "Cc") for x in twice):
+                    return twice
+    return repair(restored)[0] if len(restored) > 1 or "\x80" <= restored <= "\x9f" else restored
+
+
 def repair_fields(df: DataFrame, id_col: str, fields: Sequence[str]) -> DataFrame:
     """One row per garbled field: (id, field_name, restored, n_restored, n_lost).
 

@@ -27,6 +27,39 @@ def test_correct_text_stays(text):
     assert wrong_encoding.repair(text) == (text, 0, 0)
 
 
+OTHERS = ["on 😀 off", "go → on", "done ✓ now", "Nguyễn Việt", "日本語", "العربية", "Azərbaycan", "עברית", "full，stop"]
+
+
+@pytest.mark.parametrize("text", OTHERS)
+@pytest.mark.parametrize("encoding", ["cp1252", "latin-1", "mac_roman", "cp437"])
+def test_characters_outside_the_repertoire_come_back(text, encoding):
+    wrong = "".join(wrong_encoding._decode(c.encode(), encoding) for c in text)
+    if (text, encoding) == ("Azərbaycan", "mac_roman"):
+        text = wrong  # the one case left out: "…" before an accented letter is correct French
+    assert wrong_encoding.repair(wrong)[0] == text
+
+
+def test_two_encodings_one_after_the_other():
+    for first, second in [("cp1252", "latin-1"), ("latin-1", "cp1252"), ("mac_roman", "cp1252"), ("cp437", "cp1252")]:
+        wrong = wrong_encoding._decode(wrong_encoding._decode("é’ 😀".encode(), first).encode(), second)
+        assert wrong_encoding.repair(wrong)[0] == "é’ 😀"
+
+
+@pytest.mark.parametrize("garbled", ["ï¿½", "пїЅ", "ÔøΩ", "∩┐╜"])
+def test_garbled_replacement_characters_are_found(spark, garbled):
+    assert wrong_encoding.repair(f"caf{garbled} x") == (f"caf{garbled} x", 0, 1)
+    df = spark.createDataFrame([(1, f"caf{garbled} x"), (2, "go â†’ on"), (3, "on ðŸ˜€"), (4, "plain é")], "row_id long, t string")
+    assert {r["id"] for r in wrong_encoding.repair_fields(df, "row_id", ["t"]).collect()} == {1, 2, 3}
+
+
+ALSO_CORRECT = ["«café»… “touché…” “fiancé”—he", "le «\u00a0café\u00a0»\u00a0–", "Spaß“ und groß… muß–", "«война»\u00a0— «НАТО»", "Італії ЦІНІ лінії НІЧІЇ", "zvlášť SZKÓŁ część", "l’été “École” «École» l’âge", "È\u00a0una É\u00a0um", "JOSÉ’S CAFÉ” «CAFÉ»", "3×² £5 €6 ¥7", "„Ü“ „Ö“"]
+
+
+@pytest.mark.parametrize("text", ALSO_CORRECT)
+def test_correct_text_with_the_structure_stays(text):
+    assert wrong_encoding.repair(text) == (text, 0, 0)
+
+
 def test_lost_characters_are_found():
     assert wrong_encoding.repair("caf� x") == ("caf� x", 0, 1)
 
