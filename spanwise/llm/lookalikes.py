@@ -8,13 +8,15 @@ words of another script stay.
 Tokens with a stand-in traverse tries of the corpus vocabulary with a weighted edit automaton, in
 which look-alikes, styled forms and ignorable characters cost nothing; the commonest spelling
 reached within the allowed cost is canonical. Tokens that reach none are normalised by table, but
-one made of another script's letters throughout is then taken for a genuine word. Garbled spans
+one made of another script's letters throughout is then taken for a genuine word, and so is one whose
+only odd letters aren't in the table (a unit such as kΩ). Garbled spans
 (problem 6) are restored first, so that their odd characters aren't taken for stand-ins.
 
 Plan: a regular expression filters in the JVM; the few affected fields are split into tokens in
 Arrow batches. Distinct spellings that the table allows are joined with the vocabulary, which is
 counted over all words of all fields (partial counts before the shuffle), and the pairs are matched
-in shards of tries by hash, each bounded by its number of affected tokens.
+in shards of tries by hash, each bounded by its number of affected tokens. Tokens with letters that the
+table lacks meet all words of their length that have one sure letter at the same place.
 """
 
 from __future__ import annotations
@@ -36,6 +38,10 @@ from spanwise.llm.wrong_encoding import repair
 _OTHER = "аеорсухѕіјһԁԛԝԍьАВЕКМНОРСТУХЅІЈԌԚԜҺ" + "οναρικυγΑΒΕΖΗΙΚΜΝΟΡΤΥΧϳϲ" + "օոսհցյզ"
 _LATIN = "aeopcyxsijhdqwgbABEKMHOPCTYXSIJGQWh" + "ovapikuyABEZHIKMNOPTYXjc" + "onuhgjq"
 LOOKALIKE = dict(zip(_OTHER, _LATIN, strict=True)) | {"Һ": "H"}
+# Letters of other scripts that resemble Latin ones less, and count only if the vocabulary has the word.
+_RESEMBLES = dict(zip("кмтнгпиӏӀвѡ" + "τηχωεβςπ", "kmthrnulIbw" + "tnxweBcn", strict=True))
+#: Cost of a letter that resembles less, and of any other letter of another script inside a Latin word.
+_NEAR, _FAR = 0.25, 0.5
 # What no reader sees, beside the format characters of Unicode.
 _IGNORABLE = "\u034f\u115f\u1160\u17b4\u17b5\u3164\uffa0"
 #: Styled forms start here; the signs of Latin-1 below are ordinary typography.
@@ -79,7 +85,9 @@ def candidate_pattern() -> str:
             ranges.append([x, x])
     low = "".join(f"\\x{{{a:x}}}" for a, b in ranges if b <= 0xFF)
     high = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges if b > 0xFF)
-    return rf"[{low}]|(?=[^\x00-\xff‘’“”–—…€])[{high}\x{{e0000}}-\x{{e0fff}}]"
+    other = r"[\p{L}&&[^\p{IsLatin}]]"
+    mixed = rf"{other}(?=\p{{IsLatin}})|(?<=\p{{IsLatin}}){other}"
+    return rf"[{low}]|(?=[^\x00-\xff‘’“”–—…€])(?:[{high}\x{{e0000}}-\x{{e0fff}}]|{mixed})"
 
 
 def _table(token: str) -> str:
@@ -96,8 +104,32 @@ def _script(c: str) -> str:
     return "latin" if base.isascii() or "\u00c0" <= base <= "\u024f" or "\u1e00" <= base <= "\u1eff" else "other"
 
 
+def _unlisted(token: str) -> dict[int, float]:
+    """Places, in the token by table, of letters that stand for a Latin one only if the vocabulary tells so, and their cost.
+
+    Empty unless all such letters may: one that resembles a Latin letter in a token of three letters,
+    any other between two Latin letters, where the token has three of them.
+    """
+    plain = _table(token)
+    scripts = [_script(c) for c in plain]
+    latin = scripts.count("latin")
+    places = {k: _NEAR if c in _RESEMBLES else _FAR for k, c in enumerate(plain) if scripts[k] == "other"}
+    if not latin or len(plain) < 3 or len(places) > latin:
+        return {}
+    if any(cost == _FAR and (latin < 3 or [scripts[k - 1] if k else "", *scripts[k + 1 : k + 2]] != ["latin", "latin"]) for k, cost in places.items()):
+        return {}
+    return places
+
+
+def _shard(token: str) -> str | None:
+    """Length, place and letter of a sure Latin letter, where others are not sure; a word that the token may stand for has them too."""
+    places = _unlisted(token)
+    plain = _table(token)
+    return next((f"{len(plain)} {k + 1} {c}" for k, c in enumerate(plain) if k not in places and _script(c) == "latin"), None) if places else None
+
+
 def token_state(token: str) -> str:
-    """'clean', 'odd' (holds a stand-in for sure) or 'foreign' (look-alikes of another script throughout)."""
+    """'clean', 'odd' (holds a stand-in for sure), 'mixed' (may hold one, if the vocabulary has the word) or 'foreign' (look-alikes of another script throughout)."""
     if token.isascii():
         return "clean"
     scripts = Counter(map(_script, token))
@@ -117,6 +149,8 @@ def token_state(token: str) -> str:
             hit = True
     if hit:
         return "odd"
+    if latin and other and _unlisted(token):
+        return "mixed"
     return "foreign" if other and not latin and all(c in LOOKALIKE for c in token if c.isalpha()) else "clean"
 
 
@@ -132,7 +166,12 @@ class Trie:
             node[""] = (n, word)
 
     def spell(self, token: str, limit: float = 0.0) -> str | None:
-        """The commonest word of least cost. A look-alike, styled form or ignorable is free; other edits cost 1."""
+        """The commonest word of least cost. A look-alike, styled form or ignorable is free; other edits cost 1.
+
+        Letters of another script beside Latin ones cost less than an edit, beyond the limit; those that resemble the word's least.
+        """
+        unsure = _unlisted(token)
+        limit += sum(unsure.values())
         chars: list[tuple[str, ...]] = []
         for c in token:
             if _ignorable(c):
@@ -155,6 +194,12 @@ class Trie:
                 for x in chars[at]:
                     if x in node:
                         stack.append((node[x], at + 1, cost))
+                    elif unsure and _script(x) == "other" and x not in LOOKALIKE:
+                        if x in _RESEMBLES:
+                            if _RESEMBLES[x] in node:
+                                stack.append((node[_RESEMBLES[x]], at + 1, cost + _NEAR))
+                        else:
+                            stack += [(child, at + 1, cost + _FAR) for y, child in node.items() if y and y.isalpha()]
                 if cost < limit:
                     stack.append((node, at + 1, cost + 1))
             if cost < limit:
@@ -208,9 +253,12 @@ def canonical_fields(df: DataFrame, id_cols: Sequence[str], text_col: str, words
             yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in ids], pa.array(texts, pa.string()), pa.array(tokens, pa.list_(pa.string()))], [*ids, "text", "tokens"]).filter(pa.array(keep, pa.bool_()))
 
     found = rows.mapInArrow(split, f"{id_fields}, text string, tokens array<string>")
-    plain = F.pandas_udf(lambda s: s.map(_table), "string")
-    odd = found.select(F.explode("tokens").alias("token")).distinct().withColumn("plain", plain("token"))
-    known = odd.join(words.withColumnRenamed("word", "plain"), "plain") if limit == 0 else odd.join(words.withColumnRenamed("word", "near"), F.substring("plain", 1, 1) == F.substring("near", 1, 1)).drop("plain").withColumnRenamed("near", "plain")
+    plain, shard = F.pandas_udf(lambda s: s.map(_table), "string"), F.pandas_udf(lambda s: s.map(_shard), "string")
+    odd = found.select(F.explode("tokens").alias("token")).distinct().withColumns({"plain": plain("token"), "key": shard("token")})
+    # where every letter is sure, the table's answer is the only spelling at no cost
+    sure, unsure = (odd.where("key is null"), odd.where("key is not null")) if limit == 0 else (odd, None)
+    near = F.abs(F.length("plain") - F.length("near")) <= 2 * limit
+    known = sure.join(words.withColumnRenamed("word", "plain"), "plain") if limit == 0 else sure.join(words.withColumnRenamed("word", "near"), near).drop("plain").withColumnRenamed("near", "plain")
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         trie = Trie(dict(zip(pdf["plain"], pdf["n"], strict=True)))
@@ -218,6 +266,16 @@ def canonical_fields(df: DataFrame, id_cols: Sequence[str], text_col: str, words
         return pd.DataFrame({"token": tokens, "spelled": [trie.spell(t, limit) for t in tokens]}).dropna()
 
     spelled = known.withColumn("shard", F.pmod(F.xxhash64("token"), F.lit(SHARDS))).groupBy("shard").applyInPandas(match, "token string, spelled string")
+    if unsure is not None:
+        place = F.explode(F.sequence(F.lit(1), F.length("word"))).alias("place")
+        keyed = words.select("word", "n", place).select("word", "n", F.concat_ws(" ", F.length("word"), "place", F.substring("word", F.col("place"), F.lit(1))).alias("key"))
+        keyed = keyed.join(unsure.select("key").distinct(), "key")
+
+        def match_key(tokens: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+            trie = Trie(dict(zip(words["word"], words["n"], strict=True)))
+            return pd.DataFrame({"token": tokens["token"], "spelled": [trie.spell(t) for t in tokens["token"]]}).dropna()
+
+        spelled = spelled.unionByName(unsure.select("token", "key").groupBy("key").cogroup(keyed.groupBy("key")).applyInPandas(match_key, "token string, spelled string"))
     one = found.withColumn("_row", F.monotonically_increasing_id())
     per_row = one.select("_row", *ids, "text", F.explode_outer("tokens").alias("token")).join(spelled, "token", "left")
     gathered = per_row.groupBy("_row", *ids, "text").agg(F.collect_list(F.when(F.col("spelled").isNotNull(), F.struct("token", "spelled"))).alias("pairs"))

@@ -89,6 +89,17 @@ def test_one_form(spark):
     assert lookalikes.canonical_fields(df.limit(0), ("id",), "body").count() == 0
 
 
+def test_letters_that_the_table_lacks_go_by_the_vocabulary(spark):
+    odd = {"the booк": "the book", "тhe bridge": "the bridge", "noτhing": "nothing", "pӏace": "place", "booкs аnd": "books and", "briжge": "bridge", "eχit": "exit"}
+    clean = ["5 kΩ and 3 μm", "the Δtemp", "Δt πr", "Москва", "booк", "cafГ©", "βcarotene", "мой xyzк"]
+    rows = [(f"o{k}", t) for k, t in enumerate(odd)] + [(f"c{k}", t) for k, t in enumerate(clean)]
+    df = spark.createDataFrame([*rows, ("v", "the book and books, nothing, a place, a bridge, an exit, cafe")], "id string, body string")
+    got = {r["id"]: r["canonical"] for r in lookalikes.canonical_fields(df, ("id",), "body").collect()}
+    assert got == {f"o{k}": v for k, v in enumerate(odd.values())} | {"c4": "book"}
+    near = spark.createDataFrame([("a", "хouse"), ("v", "a mouse")], "id string, body string")
+    assert {r["id"]: r["canonical"] for r in lookalikes.canonical_fields(near, ("id",), "body", limit=1.0).collect()} == {"a": "mouse"}
+
+
 def test_trie_prefers_the_commonest_free_spelling():
     t = lookalikes.Trie({"cop": 3, "cap": 9, "café": 1, "cafe": 5})
     assert t.spell("сор") == "cop" and t.spell("ｃａｆｅ\u0301") == "café" and t.spell("cxp") is None
