@@ -186,6 +186,13 @@ def test_pages(spark, small):
     assert page_prose.page_scores(df.limit(0), "id", "text", model).count() == 0
 
 
+def test_repeated_names_are_keywords(spark, small):
+    model = prose_model(spark, small)
+    results = "Results\n" + "\n".join(f"Townham {i}-{i % 3} Cityford" for i in range(30))
+    bad = ["Cheap Flights Cheap Hotels " * 30, "Home Offers\nHome Deals\nHome Offers\nOffers Deals\n" * 20]
+    assert [model.share(t)[0] > 0.5 for t in [results, *bad]] == [False, True, True]
+
+
 def test_filter_lets_clean_texts_pass(spark):
     from pyspark.sql import functions as F
 
