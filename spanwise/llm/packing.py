@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SHARD_DOCS = 4096
 SHARD_TOKENS = 4_000_000
-#: Terms of a seed that are looked up: those that weigh most in it.
-QUERY_TERMS = 16
 # The usual BM25 parameters, and the pattern that splits text for the byte-level BPE vocabularies.
 K1, B = 1.2, 0.75
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -60,11 +58,11 @@ class BM25:
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * length / max(1.0, length.mean() if n else 1.0))
         self.weight = (idf[term] * tf * (K1 + 1) / (tf + norm[self.doc])).astype(np.float32)
-        # the query of each text: its heaviest terms that others have too
-        useful = np.flatnonzero((df[term] > 1) & (df[term] <= max(2, n // 10)))
-        order = useful[np.lexsort((-self.weight[useful], self.doc[useful]))]
+        # the query of each text: all of its terms that others have too
+        useful = np.flatnonzero(df[term] > 1)
+        order = useful[np.argsort(self.doc[useful], kind="stable")]
         first = np.searchsorted(self.doc[order], np.arange(n + 1))
-        self.queries = [term[order[first[k] : min(first[k + 1], first[k] + QUERY_TERMS)]] for k in range(n)]
+        self.queries = [term[order[first[k] : first[k + 1]]] for k in range(n)]
 
     def neighbours(self, doc: int) -> np.ndarray:
         """Texts that share a query term with one, best first; ties by place."""

@@ -169,6 +169,13 @@ def test_bm25_prefers_shared_rare_terms():
     assert index.neighbours(4).tolist() == []
 
 
+def test_bm25_queries_have_every_term():
+    docs = [np.arange(1, 31), np.arange(1, 30), np.array([30, 99])] + [np.array([200, 300 + k]) for k in range(30)]
+    index = packing.BM25(docs)
+    assert index.neighbours(0).tolist()[-1] == 2
+    assert sorted(index.neighbours(3).tolist()) == list(range(3, 33))
+
+
 def prose_model(spark, small):
     return page_prose.fit(spark.read.parquet(f"{small}/master_table_xsum_n300_seed42_v4_dcq4_frozen.parquet"), "document_norm")
 
