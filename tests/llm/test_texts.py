@@ -193,6 +193,24 @@ def test_pages(spark, small):
     assert page_prose.page_scores(df.limit(0), "id", "text", model).count() == 0
 
 
+def test_repeated_sentences_and_fragments_are_prose(spark, small):
+    model = prose_model(spark, small)
+    prose = "The council of the town opened a new bridge on Monday, and the mayor said that it would help trade in the region. "
+    good = [prose * 3, "- " + prose + "\n- " + prose, prose * 4 + "\nTags: bridge, mayor, trade", "Le conseil a vendu le musée à Paris après un long débat. " * 2, (prose * 2).upper()]
+    good += ["La tormenta vendió la tormenta en Janburg el lunes, Reis Louriackby. El concejo vendió la estación en Niabrisdale en otoño, Cogroth Tae.", "Die Schule schloss die Schule in Prien am Montag, Rolm Jesard. Das Gutachten schloss die Brücke in Loskus im Frühjahr, Vin Seisk."]
+    words = prose.lower().replace(",", "").replace(".", "").split()
+    good += [" ".join(words[a : a + n]) for n in range(1, 12) for a in range(0, len(words) - n, 3)]
+    assert [t for t in good if model.share(t)[0] > 0.5] == []
+
+
+def test_bounds_follow_the_number_of_tokens(spark, small):
+    model = prose_model(spark, small)
+    assert (np.diff(model.high) <= 0).all()
+    words = "cheap boiler discount casino online poker bargain mattress offer sofa best heater outlet voucher free laptop".split()
+    flagged = [model.share(" ".join(words[:n]))[0] > 0.5 for n in (1, 2, 3, 16)]
+    assert flagged == [False, False, False, True]
+
+
 def test_repeated_names_are_keywords(spark, small):
     model = prose_model(spark, small)
     results = "Results\n" + "\n".join(f"Townham {i}-{i % 3} Cityford" for i in range(30))
