@@ -101,6 +101,16 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.near_pairs(table(spark, d, PROXY), "row_id", ["summary_ref", "document"], 0.6)
 
 
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every row that has a near duplicate, with the smallest row id of its group."""
+    return near_duplicates.near_groups(table(spark, d, PROXY), "row_id", ["summary_ref", "document"], 0.6)
+
+
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every row with the representative of its class of equal word sets, and the number of classes alike enough."""
+    return near_duplicates.near_classes(table(spark, d, PROXY), "row_id", ["summary_ref", "document"], 0.6)
+
+
 def p6_restored(spark: SparkSession, d: str) -> DataFrame:
     return wrong_encoding.repair_fields(table(spark, d, PROXY), "row_id", ["summary_ref", "document"]).withColumnRenamed("id", "row_id")
 

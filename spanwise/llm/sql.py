@@ -19,6 +19,15 @@ WITH keyed AS (
 grp AS (SELECT k, min(row_id) AS first_id FROM keyed WHERE k <> '' GROUP BY k HAVING count(*) > 1)
 """
 
+_PAIRS = rf"""
+f AS (SELECT 'summary_ref' AS field_name, row_id, summary_ref AS t FROM {_PROXY} UNION ALL SELECT 'document', row_id, document FROM {_PROXY}),
+w AS (SELECT DISTINCT field_name, row_id, unnest(regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+')) AS word FROM f WHERE t IS NOT NULL),
+n AS (SELECT field_name, row_id, count(*) AS n FROM w GROUP BY 1, 2),
+c AS (SELECT a.field_name, a.row_id AS row_a, b.row_id AS row_b, count(*) AS c FROM w a JOIN w b ON a.field_name = b.field_name AND a.word = b.word AND a.row_id < b.row_id GROUP BY 1, 2, 3),
+pairs AS (SELECT c.field_name, c.row_a, c.row_b FROM c JOIN n x ON x.field_name = c.field_name AND x.row_id = c.row_a JOIN n y ON y.field_name = c.field_name AND y.row_id = c.row_b
+  WHERE c.c * 10 >= 6 * (x.n + y.n - c.c))
+"""
+
 SQL: dict[str, str] = {
     "p1_found": _WINDOWS + "SELECT DISTINCT rec_table, rec_key FROM hit",
     "p1_spans": _WINDOWS + """SELECT h.rec_table, h.rec_key, CAST(length(r.t) AS INTEGER) AS n_chars, CAST(h.n AS BIGINT) AS n_shared
@@ -36,13 +45,21 @@ xs AS (SELECT first_id, row_id, row_number() OVER (PARTITION BY first_id ORDER B
 sh AS (SELECT first_id, row_id, row_number() OVER (PARTITION BY first_id ORDER BY latest DESC, row_id) AS r FROM own WHERE latest IS NOT NULL)
 SELECT g.first_id, coalesce(d.row_id, 0) AS document_row_id, coalesce(x.row_id, 0) AS xsum_row_id, coalesce(s.row_id, 0) AS sha_row_id
 FROM grp g LEFT JOIN doc d ON d.first_id = g.first_id AND d.r = 1 LEFT JOIN xs x ON x.first_id = g.first_id AND x.r = 1 LEFT JOIN sh s ON s.first_id = g.first_id AND s.r = 1""",
-    "p5_found": rf"""
-WITH f AS (SELECT 'summary_ref' AS field_name, row_id, summary_ref AS t FROM {_PROXY} UNION ALL SELECT 'document', row_id, document FROM {_PROXY}),
-w AS (SELECT DISTINCT field_name, row_id, unnest(regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+')) AS word FROM f WHERE t IS NOT NULL),
-n AS (SELECT field_name, row_id, count(*) AS n FROM w GROUP BY 1, 2),
-c AS (SELECT a.field_name, a.row_id AS row_a, b.row_id AS row_b, count(*) AS c FROM w a JOIN w b ON a.field_name = b.field_name AND a.word = b.word AND a.row_id < b.row_id GROUP BY 1, 2, 3)
-SELECT c.field_name, c.row_a, c.row_b FROM c JOIN n x ON x.field_name = c.field_name AND x.row_id = c.row_a JOIN n y ON y.field_name = c.field_name AND y.row_id = c.row_b
-WHERE c.c * 10 >= 6 * (x.n + y.n - c.c)""",
+    "p5_found": f"WITH {_PAIRS} SELECT field_name, row_a, row_b FROM pairs",
+    "p5_groups": f"""WITH RECURSIVE {_PAIRS},
+edge AS MATERIALIZED (SELECT field_name, row_a AS x, row_b AS y FROM pairs UNION SELECT field_name, row_b, row_a FROM pairs),
+reach(field_name, row_id, group_id) USING KEY (field_name, row_id) AS (
+  SELECT field_name, x, x FROM edge GROUP BY 1, 2
+  UNION SELECT e.field_name, e.x, min(r.group_id) FROM edge e JOIN reach r ON r.field_name = e.field_name AND r.row_id = e.y
+    JOIN recurring.reach o ON o.field_name = e.field_name AND o.row_id = e.x GROUP BY 1, 2 HAVING min(r.group_id) < min(o.group_id))
+SELECT field_name, row_id, group_id FROM reach""",
+    "p5_classes": f"""WITH {_PAIRS},
+s AS (SELECT field_name, row_id, list_sort(list(word)) AS words FROM w GROUP BY 1, 2),
+cl AS (SELECT *, min(row_id) OVER (PARTITION BY field_name, words) AS class_id FROM s),
+ends AS (SELECT field_name, row_a AS row_id, row_b AS other FROM pairs UNION ALL SELECT field_name, row_b, row_a FROM pairs),
+links AS (SELECT e.field_name, e.row_id, count(DISTINCT o.class_id) AS n FROM ends e JOIN cl m ON m.field_name = e.field_name AND m.row_id = e.row_id
+  JOIN cl o ON o.field_name = e.field_name AND o.row_id = e.other WHERE o.class_id <> m.class_id GROUP BY 1, 2)
+SELECT cl.field_name, cl.row_id, cl.class_id, coalesce(l.n, 0) AS n_links FROM cl LEFT JOIN links l ON l.field_name = cl.field_name AND l.row_id = cl.row_id""",
     "p8_found": rf"""
 WITH it AS (SELECT xsum_id, unnest([summary_ref_norm, document_norm]) AS t FROM {_MASTER} WHERE coalesce(lower(trim(split)), '') <> 'train'),
 iw AS (SELECT xsum_id, regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+') AS w FROM it WHERE t IS NOT NULL),

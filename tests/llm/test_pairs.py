@@ -60,24 +60,75 @@ def near_by_hand(rows, theta):
     return {(min(a, b), max(a, b)) for k, (a, x) in enumerate(sets) for b, y in sets[:k] if x and y and len(x & y) >= theta * len(x | y) - 1e-9}
 
 
-@pytest.mark.parametrize("theta,rare", [(0.6, 8192), (0.6, 2), (0.8, 1), (0.55, 0)])
-def test_near_pairs(spark, theta, rare, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "RARE", rare)
+@pytest.mark.parametrize("theta,rare,block", [(0.6, 8192, 65_536), (0.6, 2, 65_536), (0.8, 1, 40), (0.55, 0, 8), (0.6, 20, 5)])
+def test_near_pairs(spark, theta, rare, block):
     rng = random.Random(9)
     vocab = [f"w{i}" for i in range(60)] + ["the"] * 5
     rows = []
     for k in range(60):
-        base = [rng.choice(vocab) for _ in range(rng.choice([1, 2, 3, 4, 5, 8, 20, 40]))]
+        base = [rng.choice(vocab) for _ in range(rng.choice([1, 2, 3, 4, 5, 8, 20, 40, 90]))]
         for _ in range(3):
             t = [w for w in base if rng.random() > 0.12] + [rng.choice(vocab) for _ in range(rng.randrange(3))]
             rows.append((len(rows), " ".join(t).title() if k % 2 else "  ".join(t) + "!"))
     rows += [(900, None), (901, ""), (902, " ... "), (903, rows[0][1]), (904, " ".join(f"v{i}" for i in range(5000))), (905, " ".join(f"v{i}" for i in range(4500)))]
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "id long, text string, h string")
-    got = [(r["row_a"], r["row_b"]) for r in near_duplicates.near_pairs(df, "id", ["text"], theta).collect()]
+    got = [(r["row_a"], r["row_b"]) for r in near_duplicates.near_pairs(df, "id", ["text"], theta, rare, block).collect()]
     assert len(got) == len(set(got)) and set(got) == near_by_hand(rows, theta)
     assert near_duplicates.near_pairs(df.limit(0), "id", ["text"], theta).count() == 0
 
 
+def test_keys_of_common_words_are_bounded():
+    rng = np.random.default_rng(4)
+    for n, rare in ((32, 0), (200, 0), (5000, 0), (5000, 50)):
+        words = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        freq = near_duplicates.Frequencies(np.full(near_duplicates.CELLS, 100, np.int64), 120, 120 * n)
+        key, _, _ = near_duplicates.prefix_keys(words, np.array([0, len(words)]), 0.6, freq, 0, rare)
+        assert len(key) <= 32 * n
+
+
+def test_groups_and_classes(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(12):
+        words = [f"w{k}x{i}" for i in range(20)]
+        for step in range(rng.randrange(1, 9)):  # a chain whose ends aren't alike
+            rows.append((len(rows) + 1, " ".join(words[3 * step :] + [f"n{k}x{i}" for i in range(3 * step)])))
+    rows += [(500, rows[3][1]), (400, rows[3][1].upper()), (600, "alone here"), (601, None), (602, "")]
+    df = spark.createDataFrame([(i, t, "z") for i, t in rows], "id long, text string, class_id string")
+    pairs = near_by_hand(rows, 0.7)
+    root = {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    linked = {i for p in pairs for i in p}
+    got = {r["row_id"]: r["group_id"] for r in near_duplicates.near_groups(df, "id", ["text"], 0.7).collect()}
+    assert got == {i: find(i) for i in linked}
+    texts = {i: frozenset(WORD.findall((t or "").lower())) for i, t in rows}
+    by_set = {}
+    for i, t in sorted(texts.items()):
+        by_set.setdefault(t, i)
+    want = {i: (by_set[t], len({texts[x] for p in pairs for x in p if i in p} - {t})) for i, t in texts.items() if t}
+    got = {r["row_id"]: (r["class_id"], r["n_links"]) for r in near_duplicates.near_classes(df, "id", ["text"], 0.7).collect()}
+    assert got == want
+    assert near_duplicates.near_groups(df.limit(0), "id", ["text"], 0.7).count() == 0
+    assert near_duplicates.near_classes(df.limit(0), "id", ["text"], 0.7).count() == 0
+
+
+def test_components_of_chains_and_hubs(spark):
+    edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 160)] + [(200, 200)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    v = spark.createDataFrame([(i,) for i in [*range(1, 41), *range(100, 160), 200, 201]], "v long")
+    got = {r["v"]: r["component"] for r in near_duplicates.components(v, df).collect()}
+    assert got == {i: 1 if i < 41 else 100 if i < 160 else i for i in [*range(1, 41), *range(100, 160), 200, 201]}
+    assert {r["v"] for r in near_duplicates.components(v, df.limit(0)).collect()} == set(got)
+
+
 def test_fields_that_hold_the_same_texts(spark):
     texts = [" ".join(f"w{k}x{i}" for i in range(12)) + end for k in range(40) for end in ("", " edited")]
     df = spark.createDataFrame([(k, t, t) for k, t in enumerate(texts)], "id long, summary string, document string")
