@@ -27,6 +27,8 @@ SHARD_DOCS = 4096
 SHARD_TOKENS = 4_000_000
 # The usual BM25 parameters, and the pattern that splits text for the byte-level BPE vocabularies.
 K1, B = 1.2, 0.75
+#: Steps of a weight, and texts of a shard for each that has a term that goes into the table of frequent terms.
+STEPS, FREQUENT = 256, 16
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -43,7 +45,11 @@ def tokenizer(path: str):
 
 
 class BM25:
-    """Inverted index of token sequences with BM25 weights in its postings."""
+    """Inverted index of token sequences with BM25 weights in its postings.
+
+    A text's query has all of its terms. Postings of frequent terms, most of all, are one matrix product of the shard; those of the others
+    are added for each query. Weights are whole steps, so that sums are exact and recompute alike.
+    """
 
     def __init__(self, docs: Sequence[np.ndarray]) -> None:
         self.n = n = len(docs)
@@ -51,27 +57,32 @@ class BM25:
         terms = np.concatenate(docs).astype(np.int64) if n else np.empty(0, np.int64)
         own = np.repeat(np.arange(n), length)
         pair, tf = np.unique(terms * max(1, n) + own, return_counts=True)
-        term, self.doc = pair // max(1, n), pair % max(1, n)
+        term, doc = pair // max(1, n), pair % max(1, n)
         top = int(term.max()) + 1 if len(term) else 0
         df = np.bincount(term, minlength=top)
-        self.start = np.concatenate([[0], np.cumsum(df)])
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * length / max(1.0, length.mean() if n else 1.0))
-        self.weight = (idf[term] * tf * (K1 + 1) / (tf + norm[self.doc])).astype(np.float32)
-        # the query of each text: all of its terms that others have too
-        useful = np.flatnonzero(df[term] > 1)
-        order = useful[np.argsort(self.doc[useful], kind="stable")]
+        weight = np.rint(STEPS * idf[term] * tf * (K1 + 1) / (tf + norm[doc])).astype(np.float32)
+        frequent = (df > max(1, n // FREQUENT))[term]
+        number = np.cumsum(df > max(1, n // FREQUENT)) - 1
+        table = np.zeros((n, int(number[-1]) + 1 if top else 0), np.float32)
+        table[doc[frequent], number[term[frequent]]] = weight[frequent]
+        self.frequent = (table > 0).astype(np.float32) @ table.T
+        rest = ~frequent & (df > 1)[term]
+        term, self.doc, self.weight = term[rest], doc[rest], weight[rest]
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=top))])
+        order = np.argsort(self.doc, kind="stable")
         first = np.searchsorted(self.doc[order], np.arange(n + 1))
         self.queries = [term[order[first[k] : first[k + 1]]] for k in range(n)]
 
-    def neighbours(self, doc: int) -> np.ndarray:
-        """Texts that share a query term with one, best first; ties by place."""
+    def neighbours(self, doc: int, among: np.ndarray | None = None) -> np.ndarray:
+        """Texts, ``among`` a mask of them, that share a term with one, best first; ties by place."""
+        score = self.frequent[doc].astype(np.float64)
         query = self.queries[doc]
-        if not len(query):
-            return np.empty(0, np.int64)
-        spans = [slice(self.start[t], self.start[t + 1]) for t in query.tolist()]
-        score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
-        hits = np.flatnonzero(score)
+        if len(query):
+            spans = [slice(self.start[t], self.start[t + 1]) for t in query.tolist()]
+            score += np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+        hits = np.flatnonzero(score if among is None else score * among)
         return hits[np.argsort(-score[hits], kind="stable")]
 
 
@@ -92,9 +103,7 @@ def pack_shard(index: BM25, lengths: np.ndarray, capacity: int) -> list[list[tup
         free[seed] = False
         box, room = [seed], capacity - n
         if waiting and room >= waiting[0][0]:
-            near = index.neighbours(seed)
-            near = near[free[near] & (size[near] <= room)]
-            for k in near.tolist():
+            for k in index.neighbours(seed, free & (size <= room)).tolist():
                 if sizes[k] <= room:
                     box.append(k)
                     room -= sizes[k]
@@ -162,3 +171,15 @@ def pack(docs: DataFrame, id_col: str, text_col: str, targets: Sequence[tuple[in
 def fill_report(packed: DataFrame, targets: DataFrame) -> DataFrame:
     """Per target: containers, tokens, and the share of their room that is used."""
     return packed.groupBy("pack_id").agg(F.countDistinct("container").alias("containers"), F.sum("n_tokens").alias("tokens")).join(targets, "pack_id").withColumn("used", F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")))
+
+
+def integrity(packed: DataFrame, targets: DataFrame) -> DataFrame:
+    """(pack_id, n_texts, n_broken, n_divided, n_over) per target: texts placed, those whose parts leave a gap or overlap, those divided though they fit, containers over capacity."""
+    parts = packed.join(targets, "pack_id").groupBy("pack_id", "capacity_tokens", "id").agg(
+        F.sum("n_tokens").alias("tokens"), F.max(F.col("first_token") + F.col("n_tokens")).alias("end"), F.count("*").alias("parts"), F.count_distinct("first_token").alias("starts"), F.sum("first_token").alias("at"), F.max("n_tokens").alias("most")
+    )
+    # parts are full but the last, so their starts are multiples of the largest part
+    whole = (F.col("tokens") == F.col("end")) & (F.col("starts") == F.col("parts")) & (2 * F.col("at") == F.col("most") * F.col("parts") * (F.col("parts") - 1))
+    texts = parts.groupBy("pack_id").agg(F.count("*").alias("n_texts"), F.count_if(~whole).alias("n_broken"), F.count_if((F.col("parts") > 1) & (F.col("tokens") <= F.col("capacity_tokens"))).alias("n_divided"))
+    boxes = packed.groupBy("pack_id", "container").agg(F.sum("n_tokens").alias("n")).join(targets, "pack_id").groupBy("pack_id").agg(F.count_if(F.col("n") > F.col("capacity_tokens")).alias("n_over"))
+    return texts.join(boxes, "pack_id")

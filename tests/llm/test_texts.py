@@ -169,6 +169,26 @@ def test_bm25_prefers_shared_rare_terms():
     assert index.neighbours(4).tolist() == []
 
 
+def test_bm25_sums_frequent_and_other_terms():
+    rng = np.random.default_rng(6)
+    docs = [rng.integers(0, 90, rng.integers(1, 60)) for _ in range(64)]
+    index = packing.BM25(docs)
+    sets = [set(x.tolist()) for x in docs]
+    df = np.bincount([t for x in sets for t in x], minlength=90)
+    mean = np.mean([len(x) for x in docs])
+
+    def score(a, b):
+        tf = np.bincount(docs[b], minlength=90)
+        norm = packing.K1 * (1 - packing.B + packing.B * len(docs[b]) / mean)
+        return sum(round(packing.STEPS * np.log1p((64 - df[t] + 0.5) / (df[t] + 0.5)) * tf[t] * (packing.K1 + 1) / (tf[t] + norm)) for t in sets[a] & sets[b] if df[t] > 1)
+
+    for a in range(0, 64, 7):
+        want = sorted((b for b in range(64) if score(a, b)), key=lambda b: (-score(a, b), b))
+        assert index.neighbours(a).tolist() == want
+        mask = np.arange(64) % 3 == 0
+        assert index.neighbours(a, mask).tolist() == [b for b in want if mask[b]]
+
+
 def test_bm25_queries_have_every_term():
     docs = [np.arange(1, 31), np.arange(1, 30), np.array([30, 99])] + [np.array([200, 300 + k]) for k in range(30)]
     index = packing.BM25(docs)
