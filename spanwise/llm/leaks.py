@@ -9,8 +9,9 @@ are located from sampled suffix positions and merged into removal spans. Words t
 has can't be in a match and split the shard's sequence; stretches shorter than ``width`` words
 aren't indexed.
 
-Plan: the test items are a fixed set, brought to the driver in blocks of at most ``BLOCK_CHARS``
-characters, one pass over the corpus a block; the corpus streams through Arrow batches without a shuffle, a
+Plan: the test items are brought to the driver in blocks of about ``BLOCK_CHARS``
+characters, one pass over the corpus a block; all texts of an item are in one block, so its spans come out merged whatever the
+number of blocks, and a block is released when its pass is done. The corpus streams through Arrow batches without a shuffle, a
 shard being a bounded number of indexed words of one partition. Whole documents, no caps.
 """
 
@@ -22,13 +23,15 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanwise.llm._fm_index import FMIndex
+from spanwise.runtime import materialize
 
-#: Bound on the characters of test texts that are broadcast at a time.
-BLOCK_CHARS = 32_000_000
+#: Characters of test texts that are broadcast at a time (some 25 bytes each on the driver and in a task).
+BLOCK_CHARS = 8_000_000
 #: Indexed words of a shard.
 SHARD_WORDS = 1_000_000
 _WORD = re.compile(r"[^\W_]+")
@@ -107,9 +110,7 @@ def _matches(phrases: Phrases, docs: list[list[tuple[int, np.ndarray]]]) -> list
     return out
 
 
-def _block(docs: DataFrame, kind: str, phrases: Phrases) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(phrases)
-
+def _block(docs: DataFrame, kind: str, sent: Broadcast, shard_words: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ph = sent.value
         ids, shard, size = [], [], 0
@@ -130,7 +131,7 @@ def _block(docs: DataFrame, kind: str, phrases: Phrases) -> DataFrame:
                     ids.append(i)
                     shard.append(found)
                     size += sum(len(x) + 1 for _, x in found)
-                if size >= SHARD_WORDS:
+                if size >= shard_words:
                     yield flush()
                     ids, shard, size = [], [], 0
         if shard:
@@ -139,7 +140,7 @@ def _block(docs: DataFrame, kind: str, phrases: Phrases) -> DataFrame:
     return docs.mapInArrow(scan, f"id {kind}, item string, n_words long, spans array<struct<first:long,end:long>>")
 
 
-def leaked(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_col: str, item_texts: tuple[str, ...], width: int = 13) -> DataFrame:
+def leaked(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_col: str, item_texts: tuple[str, ...], width: int = 13, block_chars: int = BLOCK_CHARS, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(id, item, n_words, spans): each document with each item it gives away, and the spans of words to remove.
 
     Spans are merged and count words from 0. Null and empty texts and null items match nothing; repeated
@@ -151,14 +152,17 @@ def leaked(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_c
     tests = items.select(F.col(item_col).cast("string").alias("item"), F.explode(F.array(*[F.col(c).cast("string") for c in item_texts])).alias("text"))
     tests = tests.where("item is not null").where(F.length("text") >= 2 * width - 1)
     chars = tests.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
-    blocks = 1 + chars // BLOCK_CHARS
+    blocks = int(1 + chars // block_chars)
+    sc = docs.sparkSession.sparkContext
     parts = []
     for k in range(blocks):
-        block = tests if blocks == 1 else tests.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k)
-        phrases = Phrases([(r["item"], r["text"]) for r in block.toLocalIterator()], width)
-        parts.append(_block(rows, kind, phrases))
-    if blocks == 1:
-        return parts[0]
+        block = tests if blocks == 1 else tests.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
+        sent = sc.broadcast(Phrases([(r["item"], r["text"]) for r in block.toLocalIterator()], width))
+        found = _block(rows, kind, sent, shard_words)
+        if blocks > 1:
+            found = materialize(found)
+            sent.destroy()
+        parts.append(found)
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -133,14 +133,19 @@ def p7_integrity(spark: SparkSession, d: str) -> DataFrame:
     return packing.integrity(p7_packed(spark, d).withColumnRenamed("doc_id", "id"), table(spark, d, "pack_targets"))
 
 
-def p8_spans(spark: SparkSession, d: str) -> DataFrame:
+def _leaked(spark: SparkSession, d: str) -> DataFrame:
     items = leaks.held_out(table(spark, d, MASTER))
     out = leaks.leaked(table(spark, d, "documents"), "doc_id", "text", items, "xsum_id", ("summary_ref_norm", "document_norm"))
     return out.withColumnsRenamed({"id": "doc_id", "item": "xsum_id"})
 
 
+def p8_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Each stretch of words to remove, with the item that it gives away."""
+    return _leaked(spark, d).select("doc_id", "xsum_id", F.explode("spans").alias("s")).select("doc_id", "xsum_id", F.col("s.first").alias("first_word"), F.col("s.end").alias("end_word"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return p8_spans(spark, d).select("doc_id", "xsum_id").distinct()
+    return _leaked(spark, d).select("doc_id", "xsum_id").distinct()
 
 
 def p9_scores(spark: SparkSession, d: str) -> DataFrame:

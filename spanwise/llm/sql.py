@@ -28,6 +28,14 @@ pairs AS (SELECT c.field_name, c.row_a, c.row_b FROM c JOIN n x ON x.field_name
   WHERE c.c * 10 >= 6 * (x.n + y.n - c.c))
 """
 
+_LEAKS = rf"""
+WITH it AS (SELECT xsum_id, unnest([summary_ref_norm, document_norm]) AS t FROM {_MASTER} WHERE coalesce(lower(trim(split)), '') <> 'train'),
+iw AS (SELECT xsum_id, regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+') AS w FROM it WHERE t IS NOT NULL),
+ig AS (SELECT DISTINCT xsum_id, array_to_string(w[i : i + 12], ' ') AS g FROM (SELECT xsum_id, w, unnest(range(1, len(w) - 11)) AS i FROM iw WHERE len(w) >= 13)),
+dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM documents WHERE text IS NOT NULL),
+dg AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM dw WHERE len(w) >= 13))
+"""
+
 SQL: dict[str, str] = {
     "p1_found": _WINDOWS + "SELECT DISTINCT rec_table, rec_key FROM hit",
     "p1_spans": _WINDOWS + """SELECT h.rec_table, h.rec_key, CAST(length(r.t) AS INTEGER) AS n_chars, CAST(h.n AS BIGINT) AS n_shared
@@ -62,11 +70,10 @@ links AS (SELECT e.field_name, e.row_id, count(DISTINCT o.class_id) AS n FROM en
 SELECT cl.field_name, cl.row_id, cl.class_id, coalesce(l.n, 0) AS n_links FROM cl LEFT JOIN links l ON l.field_name = cl.field_name AND l.row_id = cl.row_id""",
     "p7_integrity": """SELECT pack_id, (SELECT count(*) FROM documents WHERE length(text) > 0) AS n_texts, CAST(0 AS BIGINT) AS n_broken, CAST(0 AS BIGINT) AS n_divided, CAST(0 AS BIGINT) AS n_over
 FROM pack_targets""",
-    "p8_found": rf"""
-WITH it AS (SELECT xsum_id, unnest([summary_ref_norm, document_norm]) AS t FROM {_MASTER} WHERE coalesce(lower(trim(split)), '') <> 'train'),
-iw AS (SELECT xsum_id, regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+') AS w FROM it WHERE t IS NOT NULL),
-ig AS (SELECT DISTINCT xsum_id, array_to_string(w[i : i + 12], ' ') AS g FROM (SELECT xsum_id, w, unnest(range(1, len(w) - 11)) AS i FROM iw WHERE len(w) >= 13)),
-dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM documents WHERE text IS NOT NULL),
-dg AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM dw WHERE len(w) >= 13))
-SELECT DISTINCT doc_id, xsum_id FROM dg JOIN ig USING (g)""",
+    "p8_found": _LEAKS + "SELECT DISTINCT doc_id, xsum_id FROM dg JOIN ig USING (g)",
+    "p8_spans": _LEAKS + """,
+hit AS (SELECT DISTINCT doc_id, xsum_id, i - 1 AS at FROM dg JOIN ig USING (g)),
+cut AS (SELECT *, CASE WHEN at - lag(at) OVER w <= 13 THEN 0 ELSE 1 END AS fresh FROM hit WINDOW w AS (PARTITION BY doc_id, xsum_id ORDER BY at)),
+isle AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, xsum_id ORDER BY at) AS k FROM cut)
+SELECT doc_id, xsum_id, CAST(min(at) AS BIGINT) AS first_word, CAST(max(at) + 13 AS BIGINT) AS end_word FROM isle GROUP BY doc_id, xsum_id, k""",
 }

@@ -132,13 +132,15 @@ def test_leaks(spark):
     assert leaks.leaked(d.limit(0), "doc_id", "text", m, "xsum_id", ("s", "b")).count() == 0
 
 
-def test_leaks_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(leaks, "BLOCK_CHARS", 100)
-    monkeypatch.setattr(leaks, "SHARD_WORDS", 50)
-    texts = [" ".join(f"t{k}w{i}" for i in range(15)) for k in range(12)]
-    m = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "xsum_id string, s string")
+def test_leaks_in_blocks(spark):
+    texts = [" ".join(f"t{k}w{i}" for i in range(30)) for k in range(12)]
+    words = [t.split() for t in texts]
+    # an item's two texts overlap in the document, so its span must come out merged, in whichever blocks the items are
+    m = spark.createDataFrame([(str(k), " ".join(w[:15]), " ".join(w[2:])) for k, w in enumerate(words)], "xsum_id string, s string, b string")
     d = spark.createDataFrame([(k, t + " more") for k, t in enumerate(texts)], "doc_id long, text string")
-    assert {(r["id"], r["item"]) for r in leaks.leaked(d, "doc_id", "text", m, "xsum_id", ("s",)).collect()} == {(k, str(k)) for k in range(12)}
+    for block, shard in ((10**6, 10**6), (100, 50), (700, 10)):
+        got = {(r["id"], r["item"]): [tuple(x) for x in r["spans"]] for r in leaks.leaked(d, "doc_id", "text", m, "xsum_id", ("s", "b"), block_chars=block, shard_words=shard).collect()}
+        assert got == {(k, str(k)): [(0, 30)] for k in range(12)}
 
 
 def test_packing_keeps_every_token(spark, small):
