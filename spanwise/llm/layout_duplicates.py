@@ -4,23 +4,28 @@ Two records are copies when their canonical keys agree: the letters and digits o
 their order, without case, or, for JSON lines, the same fields with values equal in that
 sense. Texts without a letter or digit have no key and are left out.
 
-Plan: one narrow pass makes (id, key); partial counts on the map side and one shuffle of the
-partial counts give exact counts per key. Keys above a share of all rows are hot, at most
-``HOT_SHARE`` of them, so they may be broadcast and their rows never meet in one task; rows of
-all other keys take one ordinary shuffled join.
+Plan: one narrow pass makes (id, key). Each task counts its keys in a bounded table of counters that loses no key with a
+share of its rows above ``1 / (2 * HOT_SHARE)``; the counts of all tasks together leave at most ``2 * HOT_SHARE`` candidates, which are
+then counted exactly. Keys above a share of ``1 / HOT_SHARE`` of all rows are hot, at most ``HOT_SHARE`` of them. They are
+aggregated in two levels, by key and salt and then by key, and broadcast to their rows, which never meet in one task; all other keys take one
+shuffle.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanwise.runtime import hot_join, materialize
+from spanwise.runtime import materialize
 
-HOT_SHARE = 4096
+#: A key is hot with more than one such part of all rows. Tasks that share a hot key's first aggregation.
+HOT_SHARE, SALTS = 4096, 16
 _NOT_ALNUM = re.compile(r"[\W_]+")
 
 
@@ -69,24 +74,57 @@ def keyed(df: DataFrame, id_col: str, key: Column) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), key.alias("key")).where("key is not null and id is not null")
 
 
-def groups(rows: DataFrame) -> DataFrame:
-    """(key, n, first_id): copies and smallest id per key, partially aggregated before the shuffle."""
-    return rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+def _partial_counts(rows: DataFrame, capacity: int) -> DataFrame:
+    """(key, n) of each task: lower bounds of the counts of its commonest keys, each short by at most ``1 / capacity`` of the task's rows."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, int] = {}
+        for batch in batches:
+            for x in pc.value_counts(batch.column("key")).to_pylist():
+                held[x["values"]] = held.get(x["values"], 0) + x["counts"]
+            if len(held) > capacity:
+                # every counter is lowered by the one that would be the first without a place
+                least = sorted(held.values(), reverse=True)[capacity]
+                held = {k: n - least for k, n in held.items() if n > least}
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["key", "n"])
 
-def collapse(df: DataFrame, id_col: str, key: Column) -> DataFrame:
+    return rows.select("key").mapInArrow(count, "key string, n long")
+
+
+def hot_keys(rows: DataFrame, share: int = HOT_SHARE) -> DataFrame:
+    """(key) of the keys with more than one ``share``-th of all rows, found exactly; at most ``share`` of them."""
+    total = rows.count()
+    candidates = _partial_counts(rows, 2 * share).groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > F.lit(total / (2 * share)))
+    counted = rows.join(F.broadcast(candidates.select("key")), "key").groupBy("key").agg(F.count("*").alias("n"))
+    return counted.where(F.col("n") > F.lit(max(total / share, 1.0))).select("key")
+
+
+def groups(rows: DataFrame, hot: DataFrame, salts: int = SALTS) -> DataFrame:
+    """(key, n, first_id, hot): copies and smallest id per key. Hot keys in two levels over ``salts`` tasks, all others in one."""
+    both = [F.count("*").alias("n"), F.min("id").alias("first_id")]
+    salted = rows.join(F.broadcast(hot), "key").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts))).groupBy("key", "salt").agg(*both)
+    top = salted.groupBy("key").agg(F.sum("n").alias("n"), F.min("first_id").alias("first_id"))
+    rest = rows.join(F.broadcast(hot), "key", "left_anti").groupBy("key").agg(*both)
+    return top.withColumn("hot", F.lit(True)).unionByName(rest.withColumn("hot", F.lit(False)))
+
+
+def collapse(df: DataFrame, id_col: str, key: Column, share: int = HOT_SHARE) -> DataFrame:
     """One row per distinct record: ``first_id`` (its smallest id) and ``copies``.
 
     Null, blank and unkeyed records are left out; an empty input gives no rows; repeated ids count each time.
     """
-    return groups(keyed(df, id_col, key)).select("first_id", F.col("n").alias("copies"))
+    rows = materialize(keyed(df, id_col, key))
+    return groups(rows, materialize(hot_keys(rows, share))).select("first_id", F.col("n").alias("copies"))
 
 
-def members(df: DataFrame, id_col: str, key: Column) -> DataFrame:
+def members(df: DataFrame, id_col: str, key: Column, share: int = HOT_SHARE) -> DataFrame:
     """(first_id, id) of every record whose group has two rows or more, the first one included."""
     rows = materialize(keyed(df, id_col, key))
-    counts = materialize(groups(rows).where("n > 1"))
-    return hot_join(rows, counts, "key", HOT_SHARE).select("first_id", "id")
+    hot = materialize(hot_keys(rows, share))
+    counts = groups(rows, hot).where("n > 1")
+    top = rows.join(F.broadcast(counts.where("hot").select("key", "first_id")), "key")
+    rest = rows.join(F.broadcast(hot), "key", "left_anti").join(counts.where("not hot").select("key", "first_id"), "key")
+    return top.unionByName(rest).select("first_id", "id")
 
 
 def copies(df: DataFrame, id_col: str, key: Column) -> DataFrame:

@@ -72,8 +72,8 @@ SELECT cl.field_name, cl.row_id, cl.class_id, coalesce(l.n, 0) AS n_links FROM c
 FROM pack_targets""",
     "p8_found": _LEAKS + "SELECT DISTINCT doc_id, xsum_id FROM dg JOIN ig USING (g)",
     "p8_spans": _LEAKS + """,
-hit AS (SELECT DISTINCT doc_id, xsum_id, i - 1 AS at FROM dg JOIN ig USING (g)),
-cut AS (SELECT *, CASE WHEN at - lag(at) OVER w <= 13 THEN 0 ELSE 1 END AS fresh FROM hit WINDOW w AS (PARTITION BY doc_id, xsum_id ORDER BY at)),
-isle AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, xsum_id ORDER BY at) AS k FROM cut)
-SELECT doc_id, xsum_id, CAST(min(at) AS BIGINT) AS first_word, CAST(max(at) + 13 AS BIGINT) AS end_word FROM isle GROUP BY doc_id, xsum_id, k""",
+hit AS (SELECT DISTINCT doc_id, xsum_id, i - 1 AS pos FROM dg JOIN ig USING (g)),
+cut AS (SELECT *, CASE WHEN pos - lag(pos) OVER w <= 13 THEN 0 ELSE 1 END AS fresh FROM hit WINDOW w AS (PARTITION BY doc_id, xsum_id ORDER BY pos)),
+isle AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, xsum_id ORDER BY pos) AS k FROM cut)
+SELECT doc_id, xsum_id, CAST(min(pos) AS BIGINT) AS first_word, CAST(max(pos) + 13 AS BIGINT) AS end_word FROM isle GROUP BY doc_id, xsum_id, k""",
 }

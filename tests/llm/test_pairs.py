@@ -152,12 +152,30 @@ def test_layout_duplicates(spark):
     assert layout_duplicates.copies(df.limit(0), "row_id", key).count() == 0
 
 
-def test_hot_keys_are_split_off(spark, monkeypatch):
-    monkeypatch.setattr(layout_duplicates, "HOT_SHARE", 2)
-    df = spark.range(1, 4001).select(F.col("id").alias("row_id"), F.when(F.col("id") % 3 == 0, "hot key").otherwise(F.concat(F.lit("k"), F.floor(F.col("id") / 4).cast("string"))).alias("t"))
-    out = layout_duplicates.members(df, "row_id", layout_duplicates.text_key(F.col("t")))
-    assert out.groupBy("first_id").count().where("first_id = 3").first()["count"] == 1333
-    assert out.count() == df.groupBy("t").count().where("count > 1").agg(F.sum("count")).first()[0]
+def test_hot_keys_are_salted(spark):
+    text = F.when(F.col("id") % 3 == 0, "hot key").when(F.col("id") % 7 == 0, "warm key").otherwise(F.concat(F.lit("k"), F.floor(F.col("id") / 4).cast("string")))
+    df = spark.range(1, 4001).select(F.col("id").alias("row_id"), text.alias("t"))
+    key = layout_duplicates.text_key(F.col("t"))
+    rows = layout_duplicates.keyed(df, "row_id", key)
+    sizes = {r["key"]: (r["count"], r["first"]) for r in rows.groupBy("key").agg(F.count("*").alias("count"), F.min("id").alias("first")).collect()}
+    for share in (2, 4, 12, 4096):
+        hot = layout_duplicates.hot_keys(rows, share)
+        assert {r["key"] for r in hot.collect()} == {k for k, (n, _) in sizes.items() if n > max(4000 / share, 1)}
+        got = {r["key"]: (r["n"], r["first_id"]) for r in layout_duplicates.groups(rows, hot, 3).collect()}
+        assert got == sizes
+        out = layout_duplicates.members(df, "row_id", key, share)
+        assert out.groupBy("first_id").count().where("first_id = 3").first()["count"] == 1333
+        assert out.count() == sum(n for n, _ in sizes.values() if n > 1)
+        assert sorted(r["copies"] for r in layout_duplicates.collapse(df, "row_id", key, share).collect()) == sorted(n for n, _ in sizes.values())
+
+
+def test_bounded_counters_lose_no_hot_key(spark):
+    rng = random.Random(8)
+    keys = ["a"] * 400 + ["b"] * 300 + [f"x{i}" for i in range(3300)]
+    rng.shuffle(keys)
+    rows = spark.createDataFrame(list(enumerate(keys)), "id long, key string").repartition(5)
+    assert {r["key"] for r in layout_duplicates.hot_keys(rows, 20).collect()} == {"a", "b"}
+    assert layout_duplicates._partial_counts(rows, 40).groupBy("key").count().count() <= 200
 
 
 def test_json_lines(spark):
