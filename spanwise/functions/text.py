@@ -161,7 +161,7 @@ def parse_choice(c: Column) -> Column:
 
 def redact(c: Column) -> Column:
     """Secrets in messages replaced."""
-    return F.regexp_replace(F.regexp_replace(c, r"Bearer\s+\S+", "Bearer [REDACTED]"), r"sk-[A-Za-z0-9_\-]+", "sk-[REDACTED]")
+    return F.regexp_replace(F.regexp_replace(c, r"Bearer\s+\S+", "Bearer [REDACTED]"), r"sk-[A-Za-z0-9._\-]+", "sk-[REDACTED]")
 
 
 def file_split(name: Column) -> Column:

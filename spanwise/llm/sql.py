@@ -28,6 +28,16 @@ pairs AS (SELECT c.field_name, c.row_a, c.row_b FROM c JOIN n x ON x.field_name
   WHERE c.c * 10 >= 6 * (x.n + y.n - c.c))
 """
 
+# the canonical keys of both sources: letters and digits, and for JSON objects those of each field, sorted
+_LAYOUT = rf"""
+WITH line AS (SELECT raw_id, raw FROM raw_corpus_records WHERE raw IS NOT NULL AND json_valid(raw) AND json_type(raw) = 'OBJECT'),
+field AS (SELECT raw_id, lower(e.key) || ':' || regexp_replace(lower(CASE WHEN e.type = 'VARCHAR' THEN e.value ->> '$' ELSE CAST(e.value AS VARCHAR) END), '[^\p{{L}}\p{{N}}]+', '', 'g') AS f FROM line, json_each(line.raw) e),
+keyed AS (
+  SELECT 'raw' AS rec_table, raw_id AS id, coalesce((SELECT string_agg(f, ',' ORDER BY f) FROM field WHERE field.raw_id = line.raw_id), '') AS k FROM line
+  UNION ALL SELECT 'proxy', row_id, regexp_replace(lower(summary_ref), '[^\p{{L}}\p{{N}}]+', '', 'g') FROM {_PROXY} WHERE regexp_matches(summary_ref, '[\p{{L}}\p{{N}}]')),
+grp AS (SELECT rec_table, k, min(id) AS first_id, count(*) AS copies FROM keyed GROUP BY 1, 2)
+"""
+
 _LEAKS = rf"""
 WITH it AS (SELECT xsum_id, unnest([summary_ref_norm, document_norm]) AS t FROM {_MASTER} WHERE coalesce(lower(trim(split)), '') <> 'train'),
 iw AS (SELECT xsum_id, regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+') AS w FROM it WHERE t IS NOT NULL),
@@ -53,6 +63,8 @@ xs AS (SELECT first_id, row_id, row_number() OVER (PARTITION BY first_id ORDER B
 sh AS (SELECT first_id, row_id, row_number() OVER (PARTITION BY first_id ORDER BY latest DESC, row_id) AS r FROM own WHERE latest IS NOT NULL)
 SELECT g.first_id, coalesce(d.row_id, 0) AS document_row_id, coalesce(x.row_id, 0) AS xsum_row_id, coalesce(s.row_id, 0) AS sha_row_id
 FROM grp g LEFT JOIN doc d ON d.first_id = g.first_id AND d.r = 1 LEFT JOIN xs x ON x.first_id = g.first_id AND x.r = 1 LEFT JOIN sh s ON s.first_id = g.first_id AND s.r = 1""",
+    "p4_found": _LAYOUT + "SELECT rec_table, first_id, id AS copy_id FROM keyed JOIN grp USING (rec_table, k) WHERE id <> first_id",
+    "p4_collapsed": _LAYOUT + "SELECT rec_table, first_id, copies FROM grp",
     "p5_found": f"WITH {_PAIRS} SELECT field_name, row_a, row_b FROM pairs",
     "p5_groups": f"""WITH RECURSIVE {_PAIRS},
 edge AS MATERIALIZED (SELECT field_name, row_a AS x, row_b AS y FROM pairs UNION SELECT field_name, row_b, row_a FROM pairs),

@@ -14,23 +14,26 @@ K, PER_LINE, MAX_CANDIDATES = 13, 200, 200
 
 
 def lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(line, text): lines in canonical form; null and blank ones are dropped."""
-    rows = spread(df.select(F.col(id_col).alias("line"), F.col(text_col).alias("raw")))
-    return rows.select("line", canonical(F.col("raw")).alias("text")).where("text <> ''")
+    """(line, raw, text): lines as they are and in canonical form; null ones are dropped.
+
+    Blank ones have no gram and no span. They aren't filtered here: a filter on the canonical form would compute it a second time.
+    """
+    rows = spread(df.select(F.col(id_col).alias("line"), F.col(text_col).alias("raw")).where("raw is not null"))
+    return rows.select("line", "raw", canonical(F.col("raw")).alias("text"))
 
 
 def grams(df: DataFrame, key: str, k: int = K, limit: int | None = None) -> DataFrame:
     """(key, gram): the distinct k-grams of each text, of its first ``limit`` where one is set. Words are split once a text."""
-    words = df.select(key, tokens(F.col("text")).alias("words")).where(F.size("words") >= k)
+    words = df.select(key, tokens(F.col("text")).alias("words"))
     return words.select(key, F.explode(F.array_distinct(ngrams(F.col("words"), k, limit))).alias("gram"))
 
 
-def candidates(items: DataFrame, corpus: DataFrame, k: int = K, per_line: int = PER_LINE, most: int | None = MAX_CANDIDATES) -> DataFrame:
+def candidates(items: DataFrame, corpus: DataFrame, k: int = K, per_line: int | None = None, most: int | None = None) -> DataFrame:
     """(item, line, hits): lines that share k-grams with an item, by falling hits and rising line.
 
     An n-gram equi-join: both sides explode to distinct grams, the count is partially aggregated before
-    its shuffle, and the cut keeps ``most`` lines an item (the ranking is limited within partitions first).
-    ``per_line``: grams of a line that are indexed; None for all.
+    its shuffle. ``per_line``: grams of a line that are indexed, ``most``: lines kept an item, ranked within partitions first;
+    None for all. PER_LINE and MAX_CANDIDATES are the usual caps of an index held in memory.
     """
     hits = grams(items, "item", k).join(grams(corpus, "line", k, per_line), "gram").groupBy("item", "line").agg(F.count("*").alias("hits"))
     if most is None:
@@ -39,10 +42,14 @@ def candidates(items: DataFrame, corpus: DataFrame, k: int = K, per_line: int =
     return hits.withColumn("_r", rank).where(F.col("_r") <= most).drop("_r")
 
 
-def exposure(items: DataFrame, corpus: DataFrame, k: int = K, per_line: int = PER_LINE, most: int | None = MAX_CANDIDATES) -> DataFrame:
+def exposure(items: DataFrame, corpus: DataFrame, k: int = K, per_line: int | None = None, most: int | None = None) -> DataFrame:
     """(item, max_span_len, ngram_hits, proxy_count, slex) of every item; spans are measured on candidates alone."""
     found = candidates(items, corpus, k, per_line, most)
-    pairs = found.join(items.withColumnRenamed("text", "item_text"), "item").join(corpus.withColumnRenamed("text", "line_text"), "line")
+    # only the lines found are brought into canonical form again
+    text = corpus.select("line", F.col("raw").alias("line_text")) if "raw" in corpus.columns else corpus.select("line", F.col("text").alias("line_text"))
+    pairs = found.join(items.withColumnRenamed("text", "item_text"), "item").join(text, "line")
+    if "raw" in corpus.columns:
+        pairs = pairs.withColumn("line_text", canonical(F.col("line_text")))
     pairs = pairs.select("item", common_substring("item_text", "line_text").alias("span"), tokens(F.col("item_text")).alias("a"), tokens(F.col("line_text")).alias("b"))
     shared = F.array_intersect(ngrams(F.col("a"), k), ngrams(F.col("b"), k, per_line))
     # an item's shared grams are some of its own, however many lines it meets

@@ -23,7 +23,9 @@ PROXY = "proxy_structured_merged"
 MANIFEST = "proxy_sources_manifest"
 MODELS = ("model_a", "model_b", "model_c")
 KEYWORDS = ("xsum", "bbc news summary", "extreme summarization", "news headline", "article digest")
-EXTENSIONS, DENY_PATHS, DENY_REPOS, MOST_BYTES = (".txt", ".csv", ".tsv", ".jsonl", ".json"), ("/raw/",), ("mirror",), 1_500_000
+# File suffixes that are taken, and the largest size of a file.
+EXTENSIONS = (".txt", ".csv", ".tsv", ".json", ".jsonl", ".md")
+DENY_PATHS, DENY_REPOS, MOST_BYTES = ("/raw/",), ("mirror",), 1_000_000
 
 
 def _master(spark: SparkSession, d: str) -> DataFrame:
@@ -53,6 +55,11 @@ def slex_items(spark: SparkSession, d: str) -> DataFrame:
     return lexical.exposure(_items(spark, d), lexical.lines(_proxy(spark, d), "row_id", "summary_ref"))
 
 
+def slex_capped(spark: SparkSession, d: str) -> DataFrame:
+    """Exposure as an index with the usual caps finds it: the first 200 grams of a line, 200 lines an item."""
+    return lexical.exposure(_items(spark, d), lexical.lines(_proxy(spark, d), "row_id", "summary_ref"), per_line=lexical.PER_LINE, most=lexical.MAX_CANDIDATES)
+
+
 def slex_aggregate(spark: SparkSession, d: str) -> DataFrame:
     return lexical.aggregate(slex_items(spark, d))
 
@@ -62,10 +69,10 @@ def slex_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def slex_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Whole documents as lines, every gram and candidate: how many items and documents share grams."""
+    """Whole documents as lines: how many items and documents share grams."""
     docs = lexical.lines(table(spark, d, "documents"), "doc_id", "text")
     items = _master(spark, d).select(F.col("xsum_id").alias("item"), tx.canonical(F.col("document_norm")).alias("text"))
-    return lexical.candidates(items, docs, per_line=None, most=None)
+    return lexical.candidates(items, docs)
 
 
 def slex_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -284,15 +291,15 @@ def dcq_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _completions(spark: SparkSession, d: str) -> DataFrame:
-    """(model_id, item, suffix, completion): what follows an item's opening in the first corpus line of the model's share."""
+    """(model_id, item, suffix, completion): what follows an item's opening in a corpus line: of all lines that continue it, in the order of their hashes with the model, the first."""
     m = _master(spark, d).select(F.col("xsum_id").alias("item"), tx.canonical(F.col("summary_ref_norm")).alias("reference"), tx.canonical(F.col("prefix_ref")).alias("prefix"))
     m = m.select("item", "prefix", tx.gold_suffix(F.col("reference"), F.col("prefix")).alias("suffix"))
     head = lambda c: F.array_join(F.slice(F.split(c, " "), 1, 8), " ")
-    lines = spread(_proxy(spark, d).select("row_id", "summary_ref")).select("row_id", tx.canonical(F.col("summary_ref")).alias("line")).where("line <> ''").withColumn("head", head(F.col("line")))
-    models = _models(spark).withColumn("k", F.locate("_", "model_id") * 0 + F.ascii(F.right("model_id", F.lit(1))) - 97)
-    found = m.where("prefix <> ''").withColumn("head", head(F.col("prefix"))).join(lines, "head").where(F.startswith("line", F.col("prefix"))).join(models)
-    mine = found.where(F.pmod(F.col("row_id"), F.lit(3)) == F.col("k"))
-    best = mine.groupBy("model_id", "item").agg(F.min(F.struct("row_id", F.trim(F.substring("line", F.length("prefix") + 1, F.length("line"))).alias("text"))).alias("b"))
+    lines = spread(_proxy(spark, d).select("row_id", "summary_ref")).select("row_id", tx.canonical(F.col("summary_ref")).alias("line")).withColumn("head", head(F.col("line")))
+    found = m.where("prefix <> ''").withColumn("head", head(F.col("prefix"))).join(lines, "head").where(F.startswith("line", F.col("prefix"))).join(_models(spark))
+    turn = tx.seed_of(F.concat_ws("::", "model_id", F.col("row_id").cast("string")))
+    text = F.trim(F.substring("line", F.length("prefix") + 1, F.length("line")))
+    best = found.groupBy("model_id", "item").agg(F.min(F.struct(turn.alias("turn"), "row_id", text.alias("text"))).alias("b"))
     return m.join(_models(spark)).join(best, ["model_id", "item"], "left").select("model_id", "item", "suffix", F.coalesce("b.text", F.lit("")).alias("completion"))
 
 
@@ -423,7 +430,7 @@ def report_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
-        slex_items, slex_aggregate, slex_candidates, slex_documents, slex_runs, canonical_text, document_lines, summary_like_lines, json_summaries, source_files, search_queries, merge_stats, source_counts, build_summary,
+        slex_items, slex_capped, slex_aggregate, slex_candidates, slex_documents, slex_runs, canonical_text, document_lines, summary_like_lines, json_summaries, source_files, search_queries, merge_stats, source_counts, build_summary,
         manifest_files, query_ids, record_ids, text_lengths, span_histogram, missing_samples, query_cache, events_by_type, master_prefixes, validate_items, bdq_options, bcq_options, dcq_bias, dcq_scores, mem_items, mem_summary, mem_levels, line_distances, stab_items, stab_summary,
         length_baseline, length_contrast, risk_items, risk_models, risk_distribution, risk_ranking, risk_flagged, match_overlap, match_patterns, report_rows,
     ]

@@ -54,9 +54,9 @@ _LEX = f"""
 WITH it AS (SELECT xsum_id AS item, {canon('summary_ref_norm')} AS text FROM {M}),
 ln AS (SELECT * FROM (SELECT row_id AS line, {canon('summary_ref')} AS text FROM {P}) WHERE text <> ''),
 iw AS (SELECT item, {words('text')} AS w FROM it), lw AS (SELECT line, {words('text')} AS w FROM ln),
-ig AS {grams('iw', 'item')}, lg AS {grams('lw', 'line', limit=200)},
+ig AS {grams('iw', 'item')}, lg AS {grams('lw', 'line')},
 hits AS (SELECT item, line, count(*) AS hits FROM ig JOIN lg USING (gram) GROUP BY 1, 2),
-cand AS (SELECT item, line, hits FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY hits DESC, line) AS r FROM hits) WHERE r <= 200)
+cand AS (SELECT item, line, hits FROM hits)
 """
 _SPANS = _LEX + """,
 pr AS (SELECT c.item, c.line, a.text AS a, b.text AS b FROM cand c JOIN it a ON a.item = c.item JOIN ln b ON b.line = c.line),
@@ -117,7 +117,7 @@ ms AS (SELECT item, prefix, CASE WHEN prefix <> '' AND starts_with(ref, prefix)
 li AS (SELECT row_id, {canon('summary_ref')} AS line FROM {P}),
 lh AS (SELECT *, array_to_string(string_split(line, ' ')[1:8], ' ') AS head FROM li WHERE line <> ''),
 fo AS (SELECT item, row_id, trim(substr(line, length(prefix) + 1)) AS text FROM ms JOIN lh ON lh.head = array_to_string(string_split(prefix, ' ')[1:8], ' ') WHERE prefix <> '' AND starts_with(line, prefix)),
-bm AS (SELECT model_id, item, arg_min(text, row_id) AS text FROM fo JOIN (SELECT unnest(['model_a', 'model_b', 'model_c']) AS model_id, unnest([0, 1, 2]) AS k) ON row_id % 3 = k GROUP BY 1, 2),
+bm AS (SELECT model_id, item, text FROM (SELECT model_id, item, text, row_number() OVER (PARTITION BY model_id, item ORDER BY {seed("model_id || '::' || row_id::VARCHAR")}, row_id) AS r FROM fo, {MODELS}) WHERE r = 1),
 co AS (SELECT m.model_id, ms.item, suffix, coalesce(text, '') AS completion FROM ms CROSS JOIN {MODELS} m LEFT JOIN bm ON bm.item = ms.item AND bm.model_id = m.model_id),
 sc AS (SELECT model_id, item, CASE WHEN suffix <> '' THEN CAST(completion = suffix AS INTEGER) END AS exact,
   CASE WHEN suffix = '' THEN NULL WHEN completion = suffix THEN 0.0::DOUBLE WHEN completion = '' THEN 1.0::DOUBLE ELSE levenshtein(completion, suffix)::DOUBLE / greatest(length(completion), length(suffix)) END AS distance FROM co),
@@ -309,6 +309,10 @@ SELECT x.model_id AS a, y.model_id AS b, coalesce(n_both, 0) AS n_both, x.n + y.
     "dedupe_source": _dedupe("summary_ref, source_sha256"),
 }
 
+SQL["slex_capped"] = (
+    SQL["slex_items"].replace(grams("lw", "line"), grams("lw", "line", limit=200))
+    .replace("cand AS (SELECT item, line, hits FROM hits)", "cand AS (SELECT item, line, hits FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY hits DESC, line) AS r FROM hits) WHERE r <= 200)")
+)
 SQL["report_rows"] = f"""SELECT r.model_id, crs, risk_level, confidence_pct, cps, kappa, ssem_reason, em_rate, ne_rate, distance_mean, uar_mean, mned_mean, sprob_aggregate, {_LABEL.format('slex_aggregate')} AS slex_label, n_items AS lexical_items
 FROM ({SQL['risk_models']}) r LEFT JOIN ({SQL['dcq_scores']}) q ON q.model_id = r.model_id LEFT JOIN ({SQL['mem_summary']}) m ON m.model_id = r.model_id LEFT JOIN ({SQL['stab_summary']}) s ON s.model_id = r.model_id, ({SQL['slex_aggregate']}) l"""
 SQL["query_ids"] = f"""SELECT event_id, xsum_id FROM (SELECT event_id, xsum_id, row_number() OVER (PARTITION BY event_id ORDER BY xsum_id) AS r FROM (SELECT DISTINCT event_id, m.xsum_id FROM

@@ -22,6 +22,7 @@ def session(app: str = "spanwise", master: str | None = None, **conf: str) -> Sp
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for k, v in {**base, **conf}.items():
         b = b.config(k, v)
@@ -42,12 +43,14 @@ def spread(df: DataFrame) -> DataFrame:
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the cluster's shared folder.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset,
-    as in local tests, is a temporary folder of this machine used.
+    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset and all tasks run in the driver's own process
+    is a temporary folder of this machine used; on a cluster that is an error, since executors wouldn't see each other's files.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spanwise-"))
     return df.checkpoint(eager=True)
 

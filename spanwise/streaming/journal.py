@@ -17,7 +17,7 @@ def counted(events: DataFrame, ts: str, by: str, width: str = "1 day", late: str
     return out.groupBy(F.window(ts, width).alias("w"), by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), by, "n")
 
 
-def new_lines(lines: DataFrame, items: DataFrame, k: int = 13, per_line: int = 200) -> DataFrame:
+def new_lines(lines: DataFrame, items: DataFrame, k: int = 13, per_line: int | None = None) -> DataFrame:
     """(line, item, gram) for a stream of (line, text) against the fixed items: what new corpus lines expose."""
     own = grams(items, "item", k)
     texts = lines.select("line", canonical(F.col("text")).alias("text"))
