@@ -146,6 +146,28 @@ def sprob_four_metrics(uar: Column, mned: Column, anchor: Column, peak: Column)
     )
 
 
+def sprob_capped(uar: Column, mned: Column, uar_control: Column, mned_control: Column) -> tuple[Column, Column]:
+    """(level, whether the contrast is met): the top level needs a metric below its floor and twice the control's concentration."""
+    floor = (uar < 0.20) | (mned < 0.08)
+    # a metric of nothing is infinitely below its control
+    twice = (F.when(uar > 0, uar_control / uar >= 2).otherwise(True)) | (F.when(mned > 0, mned_control / mned >= 2).otherwise(True))
+    met = floor & uar_control.isNotNull() & mned_control.isNotNull() & twice
+    level = (
+        F.when(uar.isNull() | mned.isNull(), 0)
+        .when((uar > 0.60) & (mned > 0.25), 0)
+        .when(uar.between(0.40, 0.60) & mned.between(0.15, 0.25), 1)
+        .when(floor, F.when(met, 3).otherwise(2))
+        .when(((uar >= 0.20) & (uar < 0.40)) | ((mned >= 0.08) & (mned < 0.15)), 2)
+        .otherwise(1)
+    )
+    return level, F.coalesce(met, F.lit(False))
+
+
+def sprob_two_bands(uar: Column, mned: Column, anchor: Column, peak: Column) -> Column:
+    """The larger of the absolute and the anchor's band, without a control."""
+    return F.greatest(band_absolute(uar, mned), band_anchor(anchor, peak))
+
+
 def sprob_aggregate(n: Column, n1: Column, n2: Column, n3: Column) -> Column:
     plus = n1 + n2 + n3
     return (

@@ -6,7 +6,7 @@ import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegerType, StringType
 
 # Characters that the lexical form replaces, and by what.
 LEXICAL_REPLACEMENTS = (
@@ -43,6 +43,11 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, _SPACE, " "))
 
 
+def strip(c: Column) -> Column:
+    """A text without white space of any script at its ends."""
+    return F.regexp_replace(c, f"^{_SPACE}|{_SPACE}$", "")
+
+
 def canonical(c: Column) -> Column:
     """The form for lexical comparison: marks and currencies spelt, accents and other non-ASCII dropped, lower case.
 
@@ -170,5 +175,31 @@ def file_split(name: Column) -> Column:
     return F.when(base.contains("test"), "test").when(base.contains("train"), "train").when(base.contains("val"), "validation")
 
 
+def detected_split(c: Column) -> Column:
+    """The split that a text names beside the word split."""
+    low = F.lower(c)
+    return F.when(low.contains("split"), F.when(low.contains("test"), "test").when(low.contains("train"), "train").when(low.contains("val"), "validation"))
+
+
+def four_lines(c: Column) -> Column:
+    """The first four lines of an answer that aren't blank, without bullets and numbers; null where there are fewer."""
+    lines = F.transform(F.split(c, "\n"), strip)
+    # Fixed value: what begins a listed line.
+    bare = F.transform(F.filter(lines, lambda x: x != ""), lambda x: strip(F.regexp_replace(x, r"^(\d+[\).\s]+|[-•]\s+)", "")))
+    kept = F.filter(bare, lambda x: x != "")
+    return F.when(F.size(kept) >= 4, F.slice(kept, 1, 4))
+
+
+def is_one_sentence(c: Column) -> Column:
+    """At most two marks that end a sentence, as abbreviations have some."""
+    return F.regexp_count(c, F.lit("[.!?]")) <= 2
+
+
+@F.pandas_udf(IntegerType())
+def changed_characters(s):
+    """How many characters compatibility composition changes, each by itself."""
+    return s.map(lambda x: sum(unicodedata.normalize("NFKC", c) != c for c in x), na_action="ignore")
+
+
 def token_estimate(c: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(c) / 4).cast("int"))

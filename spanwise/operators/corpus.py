@@ -37,11 +37,15 @@ def json_values(df: DataFrame, id_cols: Sequence[str], raw_col: str, require: Se
 def extractor(path: Column) -> Column:
     """Which reader a file's name asks for."""
     p = F.lower(path)
-    return F.when(p.endswith(".jsonl"), "jsonl").when(p.endswith(".csv") | p.endswith(".tsv"), "tabular").otherwise("text")
+    return F.when(is_special_file(path), "structured").when(p.endswith(".jsonl"), "jsonl").when(p.endswith(".csv") | p.endswith(".tsv"), "tabular").otherwise("text")
 
 
-def is_special_file(path: Column) -> Column:
-    return F.lower(F.regexp_extract(path, r"([^/:]+)$", 1)).isin(*SPECIAL_FILES)
+def is_special_file(path: Column, head: Column | None = None) -> Column:
+    """Whether a file holds documents, summaries and ids: by its name, or by a header among its first 4,096 characters."""
+    by_name = F.lower(F.regexp_extract(path, r"([^/:]+)$", 1)).isin(*SPECIAL_FILES)
+    if head is None:
+        return by_name
+    return by_name | F.coalesce(F.replace(F.lower(F.left(head, F.lit(4096))), F.lit(" "), F.lit("")).contains("document,summary,id"), F.lit(False))
 
 
 def allowed(path: Column, repo: Column, size: Column, extensions: Sequence[str], deny_paths: Sequence[str], deny_repos: Sequence[str], most: int) -> Column:
@@ -151,6 +155,11 @@ def repaired_json(raw: Column) -> Column:
 
 
 def record_id(text: Column) -> Column:
-    """The eight-digit item id that a text names, by rules in order: a field, a file name, any number of eight digits."""
-    rules = [F.regexp_extract(text, r'(?i)"?(?:xsum_)?id"?\s*[:=]\s*"?(\d{8})\b', 1), F.regexp_extract(text, r"(\d{8})\.(?:txt|json|summary)\b", 1), F.regexp_extract(text, r"\b(\d{8})\b", 1)]
+    """The item id that a text names, by rules in order: any number under its full name, eight digits under ``id``, eight digits by themselves."""
+    # The three patterns.
+    rules = [
+        F.regexp_extract(text, r"""(?i)["']?xsum_id["']?\s*[:=]\s*["']?(\d+)["']?""", 1),
+        F.regexp_extract(text, r"""["']?id["']?\s*[:=]\s*["']?(\d{8})["']?""", 1),
+        F.regexp_extract(text, r"\b(\d{8})\b", 1),
+    ]
     return F.coalesce(*[F.nullif(r, F.lit("")) for r in rules])

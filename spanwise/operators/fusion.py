@@ -77,6 +77,13 @@ def overlap_patterns(marks: DataFrame, group: str, member: str) -> DataFrame:
     return pattern.groupBy("pattern").agg(F.count("*").alias("n"))
 
 
+def by_size(patterns: DataFrame) -> DataFrame:
+    """Patterns with their number of groups, ordered by it, then by members. There are as many as sets of groups, however many members."""
+    size = F.size(F.split("pattern", r" \+ ")).cast("bigint")
+    over = Window.partitionBy().orderBy(F.desc("size"), F.desc("n"), "pattern")
+    return patterns.withColumn("size", size).withColumn("place", F.row_number().over(over).cast("bigint")).select("pattern", "size", "n", "place")
+
+
 def checks(items: DataFrame, required: tuple[str, ...], checks_of: dict[str, tuple[str, Column]]) -> DataFrame:
     """(check, severity, bad, total, ok): blank required columns and named conditions, in one pass over the items.
 

@@ -66,3 +66,11 @@ def aggregate(levels: DataFrame) -> DataFrame:
     mean = [F.round(F.avg(c), 6).alias(f"{c}_mean") for c in ("max_span_len", "ngram_hits", "proxy_count")]
     out = levels.agg(F.count("slex").alias("n_items"), *n, *mean)
     return out.withColumn("slex_aggregate", rubrics.slex_aggregate(F.col("n_items"), F.expr("n1 + n2 + n3"), F.expr("n2 + n3"), F.col("n3")).cast("bigint"))
+
+
+def histogram(df: DataFrame, column: str, bars: int = 30) -> DataFrame:
+    """(bar, n) of ``bars`` bars of equal width between the smallest and the largest value, which is in the last; empty bars are left out."""
+    ends = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
+    x = F.col(column)
+    bar = F.when(F.col("hi") == F.col("lo"), 0).when(x == F.col("hi"), bars - 1).otherwise(F.floor((x - F.col("lo")) * float(bars) / (F.col("hi") - F.col("lo"))))
+    return df.where(x.isNotNull()).join(F.broadcast(ends)).groupBy(bar.cast("bigint").alias("bar")).agg(F.count("*").alias("n"))

@@ -22,10 +22,12 @@ MASTER = "master_table_xsum_n300_seed42_v4_dcq4_frozen"
 PROXY = "proxy_structured_merged"
 MANIFEST = "proxy_sources_manifest"
 MODELS = ("model_a", "model_b", "model_c")
-KEYWORDS = ("xsum", "bbc news summary", "extreme summarization", "news headline", "article digest")
-# File suffixes that are taken, and the largest size of a file.
-EXTENSIONS = (".txt", ".csv", ".tsv", ".json", ".jsonl", ".md")
-DENY_PATHS, DENY_REPOS, MOST_BYTES = ("/raw/",), ("mirror",), 1_000_000
+# The collection's configured search words, file suffixes, words of paths and repositories that are passed over, and largest file.
+KEYWORDS = ("xsum_id", "xsum dataset", "huggingface xsum", "bbc xsum", '"document" "summary" xsum')
+EXTENSIONS = (".txt", ".jsonl", ".json", ".csv", ".tsv")
+DENY_REPOS = ("tutorial", "demo", "homework", "course", "leaderboard", "benchmark-results", "model-card")
+DENY_PATHS = ("eval", "evaluation", "results", "outputs", "metrics")
+MOST_BYTES = 2_700_000
 
 
 def _master(spark: SparkSession, d: str) -> DataFrame:
@@ -435,10 +437,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         length_baseline, length_contrast, risk_items, risk_models, risk_distribution, risk_ranking, risk_flagged, match_overlap, match_patterns, report_rows,
     ]
     modes = {f"dedupe_{m}": _deduped(m) for m in ("none", "summary_norm", "doc_summary_hash", "source", "record_md5")}
-    return {f.__name__: f for f in named} | modes
+    from spanwise.plans.extra import QUERIES
+
+    return {f.__name__: f for f in named} | modes | QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    from spanwise.plans.extra import SQL as MORE
     from spanwise.plans.sql import SQL
 
-    return dict(SQL)
+    return SQL | MORE

@@ -243,14 +243,14 @@ SELECT row_id, canonical, len({words('canonical')}) AS n_tokens, greatest(0, len
 ok AS (SELECT path, j FROM r WHERE regexp_full_match(j, '(?s)\{{.*\}}') AND json_valid(j) AND json_exists(j, '$.xsum_id')),
 v AS ({' UNION ALL '.join(f"SELECT path, json_extract_string(j, '$.{f}') AS v FROM ok WHERE json_type(j, '$.{f}') IN ('VARCHAR', 'UBIGINT', 'BIGINT', 'DOUBLE', 'BOOLEAN')" for f in _FIELDS)}),
 l AS (SELECT path, {NORM_LINE.format('v')} AS value FROM v) SELECT DISTINCT path, value FROM l WHERE {line_like('value')}""",
-    "source_files": f"""SELECT DISTINCT event_id, CASE WHEN lower(path) LIKE '%.jsonl' THEN 'jsonl' WHEN lower(path) LIKE '%.csv' OR lower(path) LIKE '%.tsv' THEN 'tabular' ELSE 'text' END AS extractor,
+    "source_files": f"""SELECT DISTINCT event_id, CASE WHEN {_BASENAME} IN ('xsum_test.csv', 'xsum_train.csv', 'xsum_validation.csv', 'xsum_val.csv') THEN 'structured' WHEN lower(path) LIKE '%.jsonl' THEN 'jsonl' WHEN lower(path) LIKE '%.csv' OR lower(path) LIKE '%.tsv' THEN 'tabular' ELSE 'text' END AS extractor,
 CASE WHEN contains({_BASENAME}, 'test') THEN 'test' WHEN contains({_BASENAME}, 'train') THEN 'train' WHEN contains({_BASENAME}, 'val') THEN 'validation' END AS split,
-CASE WHEN NOT ({' OR '.join(f"ends_with(lower(path), '{x}')" for x in ('.txt', '.csv', '.tsv', '.jsonl', '.json'))}) THEN 'extension' WHEN contains(lower(path), '/raw/') THEN 'path' WHEN contains(lower(repo), 'mirror') THEN 'repo'
-  WHEN bytes > 1500000 AND {_BASENAME} NOT IN ('xsum_test.csv', 'xsum_train.csv', 'xsum_validation.csv', 'xsum_val.csv') THEN 'size' ELSE 'ok' END AS verdict,
+CASE WHEN NOT ({' OR '.join(f"ends_with(lower(path), '{x}')" for x in ('.txt', '.jsonl', '.json', '.csv', '.tsv'))}) THEN 'extension' WHEN {' OR '.join(f"contains(lower(path), '{x}')" for x in ('eval', 'evaluation', 'results', 'outputs', 'metrics'))} THEN 'path' WHEN {' OR '.join(f"contains(lower(repo), '{x}')" for x in ('tutorial', 'demo', 'homework', 'course', 'leaderboard', 'benchmark-results', 'model-card'))} THEN 'repo'
+  WHEN bytes > 2700000 AND {_BASENAME} NOT IN ('xsum_test.csv', 'xsum_train.csv', 'xsum_validation.csv', 'xsum_val.csv') THEN 'size' ELSE 'ok' END AS verdict,
 CASE WHEN contains(lower(coalesce(query, '')), 'xsum_id') THEN 'hint_contains_xsum_id' WHEN contains(lower(coalesce(query, '')), 'xsum') AND (contains(lower(query), 'summary') OR contains(lower(query), 'document') OR contains(lower(query), 'article')) THEN 'hint_contains_xsum_and_schema'
   WHEN contains(lower(coalesce(repo, '')), 'xsum') OR contains(lower(coalesce(path, '')), 'xsum') OR contains(lower(coalesce(name, '')), 'xsum') THEN 'meta_contains_xsum' ELSE 'no_xsum_signal' END AS reason
 FROM {E} WHERE ends_with(type, 'download_ok')""",
-    "search_queries": f"""WITH w AS (SELECT unnest(['xsum', 'bbc news summary', 'extreme summarization', 'news headline', 'article digest']) AS w), i AS (SELECT '"' || xsum_id || '"' AS q FROM {M} ORDER BY xsum_id LIMIT 40)
+    "search_queries": f"""WITH w AS (SELECT unnest(['xsum_id', 'xsum dataset', 'huggingface xsum', 'bbc xsum', '"document" "summary" xsum']) AS w), i AS (SELECT '"' || xsum_id || '"' AS q FROM {M} ORDER BY xsum_id LIMIT 40)
 SELECT w || ' summary' AS query FROM w UNION ALL SELECT w || ' summaries' FROM w UNION ALL SELECT q FROM i UNION ALL SELECT q || ' xsum' FROM i""",
     "merge_stats": f"""WITH r AS (SELECT *, {_DEDUPE_KEY} AS k FROM {P}), a AS (SELECT count(*) AS rows_before, count(*) FILTER (WHERE k = '') AS rows_empty_summary, count(DISTINCT k) AS rows_unique_norm, count(*) FILTER (WHERE coalesce(trim(source_sha256), '') <> '') AS rows_with_sha256 FROM r)
 SELECT *, rows_unique_norm AS rows_after, rows_before - rows_unique_norm AS rows_removed, round_even(100.0::DOUBLE * rows_with_sha256 / rows_before, 2) AS pct_with_sha256 FROM a""",
@@ -317,8 +317,9 @@ SQL["report_rows"] = f"""SELECT r.model_id, crs, risk_level, confidence_pct, cps
 FROM ({SQL['risk_models']}) r LEFT JOIN ({SQL['dcq_scores']}) q ON q.model_id = r.model_id LEFT JOIN ({SQL['mem_summary']}) m ON m.model_id = r.model_id LEFT JOIN ({SQL['stab_summary']}) s ON s.model_id = r.model_id, ({SQL['slex_aggregate']}) l"""
 SQL["query_ids"] = f"""SELECT event_id, xsum_id FROM (SELECT event_id, xsum_id, row_number() OVER (PARTITION BY event_id ORDER BY xsum_id) AS r FROM (SELECT DISTINCT event_id, m.xsum_id FROM
 (SELECT event_id, unnest(regexp_extract_all(lower(query), '[a-z0-9_]+')) AS word FROM {E} WHERE query IS NOT NULL) q JOIN {M} m ON lower(m.xsum_id) = q.word)) WHERE r <= 3"""
+ID_RULES = rf"""coalesce(nullif(regexp_extract({{0}}, '(?i)["'']?xsum_id["'']?\s*[:=]\s*["'']?(\d+)["'']?', 1), ''), nullif(regexp_extract({{0}}, '["'']?id["'']?\s*[:=]\s*["'']?(\d{{{{8}}}})["'']?', 1), ''), nullif(regexp_extract({{0}}, '\b(\d{{{{8}}}})\b', 1), ''))"""
 SQL["record_ids"] = rf"""WITH r AS (SELECT path, regexp_replace(raw, ',\s*([}}\]])', '\1', 'g') AS raw FROM raw_corpus_records WHERE raw IS NOT NULL),
-i AS (SELECT path, coalesce(nullif(regexp_extract(raw, '(?i)"?(?:xsum_)?id"?\s*[:=]\s*"?(\d{{8}})\b', 1), ''), nullif(regexp_extract(raw, '(\d{{8}})\.(?:txt|json|summary)\b', 1), ''), nullif(regexp_extract(raw, '\b(\d{{8}})\b', 1), '')) AS id FROM r)
+i AS (SELECT path, {ID_RULES.format('raw')} AS id FROM r)
 SELECT path, count(*) AS n, count(id) AS named, count(DISTINCT id) AS ids FROM i GROUP BY 1"""
 SQL["text_lengths"] = f"""WITH x AS (SELECT unnest(['document', 'document_norm', 'summary_ref', 'summary_ref_norm', 'prefix_ref']) AS field, unnest([document, document_norm, summary_ref, summary_ref_norm, prefix_ref]) AS t FROM {M})
 SELECT field, count(*) AS n, min(length(t)) AS shortest, max(length(t)) AS longest, round(avg(length(t)), 6) AS mean, {median('length(t)', .1)} AS p10, {median('length(t)', .5)} AS p50, {median('length(t)', .9)} AS p90, count(*) - count(DISTINCT t) AS repeats FROM x WHERE t IS NOT NULL GROUP BY 1"""
