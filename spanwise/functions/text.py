@@ -118,7 +118,7 @@ def for_prompt(c: Column) -> Column:
 
 def word_tokens(c: Column) -> Column:
     """Words of any script, and each mark by itself, in lower case."""
-    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"(?U)\w+|[^\w\s]"), F.lit(0))
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"(?U)[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"), F.lit(0))
 
 
 def looks_like_summary(line: Column, low: int = 12, high: int = 140, periods: int = 4) -> Column:

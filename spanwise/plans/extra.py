@@ -14,6 +14,7 @@ from spanwise.operators import corpus, detectors, fusion, lexical, probes, recor
 from spanwise.plans import queries as q
 from spanwise.plans import sql as s
 from spanwise.runtime import table
+from spanwise.streaming import journal
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -422,3 +423,58 @@ def canonical_distances(spark: SparkSession, d: str) -> DataFrame:
     """Character distance of each item's canonical text to its summary."""
     m = q._master(spark, d).select(F.col("xsum_id").alias("item"), tx.canonical(F.col("dcq_a_canonical")).alias("a"), tx.canonical(F.col("summary_ref_norm")).alias("b"))
     return m.select("item", F.round(char_distance(F.col("a"), F.col("b")), 6).alias("distance"))
+
+
+_ACTIONS = f"(SELECT event_id, min(ts) AS ts, min(type) AS type FROM {s.E} GROUP BY 1)"
+
+
+@_registered(f"""WITH g AS (SELECT type, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM {_ACTIONS} WINDOW w AS (PARTITION BY type ORDER BY ts)),
+k AS (SELECT *, sum(fresh) OVER (PARTITION BY type ORDER BY ts) AS k FROM g)
+SELECT type, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS "end", count(*) AS n FROM k GROUP BY type, k""")
+def event_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of manifest events of one type with less than half an hour between them."""
+    events = table(spark, d, q.MANIFEST).groupBy("event_id").agg(F.min("ts").alias("ts"), F.min("type").alias("type"))
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    return journal.sessions(events, "ts", "type").select("type", text("start"), text("end"), "n")
+
+
+# Published results that the rubrics must give for the published counts.
+GOLDENS = {
+    "slex_aggregate 9/50/237 of 296": "3",
+    "kappa of cps .320946, pe .104730": "0.241509",
+    "ssem of cps .320946, kappa .241509": "1 weak_cps_above_chance",
+    "kappa of cps .364865, pe 19/294": "0.320983",
+    "wilson 1 of 296": "0.000597 0.018886",
+    "wilson 7 of 296": "0.011501 0.048002",
+    "wilson 8 of 296": "0.013757 0.052416",
+    "sprob_aggregate 219/57/16/4": "3",
+    "sprob_aggregate 165/79/33/19": "3",
+    "crs of 1, 1, 3": "0.533333 0.6 HIGH",
+    "confidence of 3, 1, 1, 3": "90 HIGH",
+    "rate of 24963 in 25856": "3.45%",
+    "pct 287 of 296": "97",
+    "pct 237 of 296": "80",
+    "slex_label 3": "Widely available",
+}
+
+
+@_registered("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in GOLDENS.items()) + ") t(golden, value)")
+def goldens(spark: SparkSession, d: str) -> DataFrame:
+    """The rubrics' results for published counts."""
+    n = lambda x: F.lit(float(x))
+    six = lambda c: F.round(c, 6).cast("string")
+    pair = lambda a, b: F.concat_ws(" ", a.cast("string"), b.cast("string"))
+    kappa = lambda cps, pe: (n(cps) - pe) / (1 - pe)
+    semantic = rubrics.ssem(n(0.32094594594594594), n(0.24150943396226415), n(11 / 296))
+    raw, crs = rubrics.crs(F.lit(1), F.lit(1), F.lit(3))
+    sure = rubrics.confidence(F.lit(3), F.lit(1), F.lit(1), F.lit(3))
+    values = [
+        rubrics.slex_aggregate(F.lit(296), F.lit(287), F.lit(287), F.lit(237)).cast("string"),
+        six(kappa(0.32094594594594594, n(0.10472972972972973))), pair(semantic["level"], semantic["reason"]), six(kappa(0.36486486486486486, n(19 / 294))),
+        *[F.format_string("%.6f %.6f", *rubrics.wilson(F.lit(k), F.lit(296))) for k in (1, 7, 8)],
+        rubrics.sprob_aggregate(F.lit(296), F.lit(57), F.lit(16), F.lit(4)).cast("string"), rubrics.sprob_aggregate(F.lit(296), F.lit(79), F.lit(33), F.lit(19)).cast("string"),
+        F.concat_ws(" ", raw.cast("string"), crs.cast("string"), rubrics.risk_level(crs)), pair(sure["confidence_pct"], sure["confidence_level"]),
+        report.rate(F.lit(24963), F.lit(25856)), report.pct(F.lit(287), F.lit(296)), report.pct(F.lit(237), F.lit(296)), rubrics.slex_label(F.lit(3)),
+    ]
+    each = F.array(*[F.struct(F.lit(k).alias("golden"), v.alias("value")) for k, v in zip(GOLDENS, values, strict=True)])
+    return spark.range(1).select(F.explode(each).alias("x")).select("x.golden", "x.value")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import re
-from collections.abc import Callable, Iterator
+import time
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -40,10 +42,11 @@ def replayed(prompts: DataFrame, stored: DataFrame, key: str = "prompt") -> Data
     return prompts.withColumn("_k", F.sha2(key, 256)).join(first, "_k", "left").drop("_k")
 
 
-def answered(prompts: DataFrame, provider: Callable[[str], str], key: str = "prompt", retries: int = 1) -> DataFrame:
+def answered(prompts: DataFrame, provider: Callable[[str], str], key: str = "prompt", retries: int = 1, waits: Sequence[float] = ()) -> DataFrame:
     """Prompts with (answer, status) from a callable, called once a row in the tasks; an error leaves the row unanswered.
 
-    The callable must be picklable. Errors are kept in the status with secrets redacted.
+    The callable must be picklable. Errors are kept in the status with secrets redacted. waits: seconds before each retry, such as (1, 4, 16);
+    the last one holds for all later ones.
     """
     names = prompts.columns
 
@@ -58,9 +61,31 @@ def answered(prompts: DataFrame, provider: Callable[[str], str], key: str = "pro
                         break
                     except Exception as e:  # noqa: BLE001 - whatever a provider raises belongs to its row
                         why = f"api_error: {e}"
+                        if waits and k < retries:
+                            time.sleep(waits[min(k, len(waits) - 1)])
                 answers.append(answer)
                 status.append(why)
             yield pdf.assign(answer=answers, status=status)
 
     schema = ", ".join(f"`{n}` {t}" for n, t in prompts.dtypes) + ", answer string, status string"
     return prompts.mapInPandas(call, schema).withColumn("status", redact(F.col("status"))).select(*names, "answer", "status")
+
+
+class Registry:
+    """Providers by name. A factory takes a model's settings and gives a callable from prompt to answer."""
+
+    def __init__(self) -> None:
+        self._factories: dict[str, Callable[[Mapping], Callable[[str], str]]] = {}
+
+    def register(self, name: str, factory: Callable[[Mapping], Callable[[str], str]]) -> None:
+        self._factories[name.lower()] = factory
+
+    def select(self, settings: Mapping, environ: Mapping[str, str] = os.environ) -> Callable[[str], str]:
+        """The callable of ``settings["provider"]``; an unknown provider, or one whose key isn't in the environment, is an error."""
+        name = str(settings.get("provider", "")).lower()
+        if name not in self._factories:
+            raise ValueError(f"unsupported provider {name!r}, known are {sorted(self._factories)}")
+        variable = (settings.get("env") or {}).get("api_key_var")
+        if variable and not environ.get(variable):
+            raise ValueError(f"{variable} isn't set")
+        return self._factories[name](settings)
