@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanwise.llm.wrong_encoding import repair
+from spanwise.runtime import materialize
 
 # Letters of other scripts that look like Latin ones (both strings side by side).
 _OTHER = "аеорсухѕіјһԁԛԝԍьАВЕКМНОРСТУХЅІЈԌԚԜҺ" + "οναρικυγΑΒΕΖΗΙΚΜΝΟΡΤΥΧϳϲ" + "օոսհցյզ"
@@ -229,6 +230,14 @@ def vocabulary(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     return df.select(words.alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
+def _shortened(df: DataFrame, times: int) -> DataFrame:
+    """Rows with every text that ``left`` gives when up to ``times`` letters are taken out."""
+    for _ in range(times):
+        less = F.transform(F.sequence(F.lit(1), F.length("left")), lambda k: F.concat(F.left("left", k - 1), F.substring("left", k + 1, F.length("left"))))
+        df = df.withColumn("left", F.explode(F.array_distinct(F.concat(F.array("left"), F.when(F.col("left") != "", less).otherwise(F.array().cast("array<string>")))))).distinct()
+    return df
+
+
 def canonical_fields(df: DataFrame, id_cols: Sequence[str], text_col: str, words: DataFrame | None = None, limit: float = 0.0) -> DataFrame:
     """One row per field that holds a stand-in: the id columns and ``canonical``, the text in one form.
 
@@ -252,13 +261,20 @@ def canonical_fields(df: DataFrame, id_cols: Sequence[str], text_col: str, words
                 tokens.append(odd)
             yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in ids], pa.array(texts, pa.string()), pa.array(tokens, pa.list_(pa.string()))], [*ids, "text", "tokens"]).filter(pa.array(keep, pa.bool_()))
 
-    found = rows.mapInArrow(split, f"{id_fields}, text string, tokens array<string>")
+    # read by the tokens and by the rewriting: split once
+    found = materialize(rows.mapInArrow(split, f"{id_fields}, text string, tokens array<string>"))
     plain, shard = F.pandas_udf(lambda s: s.map(_table), "string"), F.pandas_udf(lambda s: s.map(_shard), "string")
     odd = found.select(F.explode("tokens").alias("token")).distinct().withColumns({"plain": plain("token"), "key": shard("token")})
     # where every letter is sure, the table's answer is the only spelling at no cost
     sure, unsure = (odd.where("key is null"), odd.where("key is not null")) if limit == 0 else (odd, None)
-    near = F.abs(F.length("plain") - F.length("near")) <= 2 * limit
-    known = sure.join(words.withColumnRenamed("word", "plain"), "plain") if limit == 0 else sure.join(words.withColumnRenamed("word", "near"), near).drop("plain").withColumnRenamed("near", "plain")
+    if limit == 0:
+        known = sure.join(words.withColumnRenamed("word", "plain"), "plain")
+    else:
+        # spellings within so many edits share what is left when as many letters are taken out of each
+        left, right = sure, words.withColumn("left", F.col("word"))
+        left = _shortened(left.withColumnRenamed("plain", "left"), int(limit))
+        right = _shortened(right, int(limit))
+        known = left.join(right, "left").select("token", F.col("word").alias("plain"), "n").distinct()
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         trie = Trie(dict(zip(pdf["plain"], pdf["n"], strict=True)))

@@ -100,6 +100,14 @@ def test_letters_that_the_table_lacks_go_by_the_vocabulary(spark):
     assert {r["id"]: r["canonical"] for r in lookalikes.canonical_fields(near, ("id",), "body", limit=1.0).collect()} == {"a": "mouse"}
 
 
+def test_edits_beside_look_alikes(spark):
+    words = "a mouse and the trawler, a bridge, naïve plans"
+    odd = {"хouse": "mouse", "trаwlr": "trawler", "bbrіdge": "bridge", "ｂridg": "bridge", "nаive": "naïve"}
+    df = spark.createDataFrame([*enumerate(odd), (99, words)], "id long, body string")
+    got = {r["id"]: r["canonical"] for r in lookalikes.canonical_fields(df, ("id",), "body", limit=1.0).collect()}
+    assert got == dict(enumerate(odd.values()))
+
+
 def test_trie_prefers_the_commonest_free_spelling():
     t = lookalikes.Trie({"cop": 3, "cap": 9, "café": 1, "cafe": 5})
     assert t.spell("сор") == "cop" and t.spell("ｃａｆｅ\u0301") == "café" and t.spell("cxp") is None
