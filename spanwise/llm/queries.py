@@ -58,7 +58,7 @@ def _trusted(spark: SparkSession, d: str) -> tuple[DataFrame, list[best_record.B
         F.md5("document").alias("doc"),
     ).where("key is not null")
     rows = rows.join(trust, "plain", "left")
-    rows = best_record.salted_lookup(rows, latest, "sha", "row_id")
+    rows = best_record.looked_up(rows, latest, "sha")
     bundles = [
         best_record.Bundle("document_row_id", F.col("chars"), F.col("doc")),
         best_record.Bundle("xsum_row_id", F.when(F.col("xsum").isNotNull(), F.coalesce("trust", F.lit(0))), F.col("xsum")),
@@ -80,6 +80,15 @@ def p3_bundles(spark: SparkSession, d: str) -> DataFrame:
     return out.where("n > 1").select("first_id", *[b.name for b in bundles])
 
 
+def p3_record(spark: SparkSession, d: str) -> DataFrame:
+    """The surviving record of each group: its longest document, the most trusted id with the source that vouches for it, the latest hash with its date."""
+    rows, bundles = _trusted(spark, d)
+    out = best_record.best_bundles(rows, "key", "row_id", bundles).where("n > 1")
+    source = table(spark, d, PROXY).select(F.col("row_id").cast("long").alias("row_id"), "document", "xsum_id", "source", "source_detail", "source_sha256")
+    fields = {"document_row_id": ("document",), "xsum_row_id": ("xsum_id", "source"), "sha_row_id": ("source_sha256", "source_detail")}
+    return best_record.built(source, "key", "row_id", out, fields).drop("key")
+
+
 def _layouts(spark: SparkSession, d: str) -> list[tuple[str, DataFrame, str, object]]:
     return [
         ("proxy", table(spark, d, PROXY), "row_id", layout_duplicates.text_key(F.col("summary_ref"))),

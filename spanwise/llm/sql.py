@@ -19,6 +19,20 @@ WITH keyed AS (
 grp AS (SELECT k, min(row_id) AS first_id FROM keyed WHERE k <> '' GROUP BY k HAVING count(*) > 1)
 """
 
+_BEST = _KEYED + rf""",
+man AS (SELECT lower(sha256) AS sha, max(ts) AS latest FROM proxy_sources_manifest WHERE sha256 IS NOT NULL GROUP BY 1),
+tr AS (SELECT lower(trim(source)) AS s, max(trust) AS trust FROM source_trust GROUP BY 1),
+own AS (SELECT g.first_id, d.row_id, d.document, d.xsum_id, coalesce(tr.trust, 0) AS trust, d.source_sha256, man.latest
+  FROM keyed d JOIN grp g USING (k)
+  LEFT JOIN tr ON tr.s = regexp_replace(lower(d.source), '^\s+|\s+$', '', 'g')
+  LEFT JOIN man ON man.sha = lower(d.source_sha256) AND regexp_full_match(d.source_sha256, '[0-9a-fA-F]{{64}}')),
+doc AS (SELECT first_id, row_id, row_number() OVER (PARTITION BY first_id ORDER BY length(document) DESC, row_id) AS r FROM own WHERE regexp_matches(document, '\S')),
+xs AS (SELECT first_id, row_id, row_number() OVER (PARTITION BY first_id ORDER BY trust DESC, row_id) AS r FROM own WHERE regexp_full_match(xsum_id, '[0-9]{{8}}')),
+sh AS (SELECT first_id, row_id, row_number() OVER (PARTITION BY first_id ORDER BY latest DESC, row_id) AS r FROM own WHERE latest IS NOT NULL)"""
+_BEST_ROWS = """
+SELECT g.first_id, coalesce(d.row_id, 0) AS document_row_id, coalesce(x.row_id, 0) AS xsum_row_id, coalesce(s.row_id, 0) AS sha_row_id
+FROM grp g LEFT JOIN doc d ON d.first_id = g.first_id AND d.r = 1 LEFT JOIN xs x ON x.first_id = g.first_id AND x.r = 1 LEFT JOIN sh s ON s.first_id = g.first_id AND s.r = 1"""
+
 _PAIRS = rf"""
 f AS (SELECT 'summary_ref' AS field_name, row_id, summary_ref AS t FROM {_PROXY} UNION ALL SELECT 'document', row_id, document FROM {_PROXY}),
 w AS (SELECT DISTINCT field_name, row_id, unnest(regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+')) AS word FROM f WHERE t IS NOT NULL),
@@ -51,18 +65,20 @@ SQL: dict[str, str] = {
     "p1_spans": _WINDOWS + """SELECT h.rec_table, h.rec_key, CAST(length(r.t) AS INTEGER) AS n_chars, CAST(h.n AS BIGINT) AS n_shared
 FROM (SELECT rec_table, rec_key, sum(least(coalesce(gap, 100), 100)) AS n FROM hit GROUP BY 1, 2) h
 JOIN rec r ON r.rec_table = h.rec_table AND r.rec_key = h.rec_key""",
-    "p3_found": _KEYED + rf""",
-man AS (SELECT lower(sha256) AS sha, max(ts) AS latest FROM proxy_sources_manifest WHERE sha256 IS NOT NULL GROUP BY 1),
-tr AS (SELECT lower(trim(source)) AS s, max(trust) AS trust FROM source_trust GROUP BY 1),
-own AS (SELECT g.first_id, d.row_id, d.document, d.xsum_id, coalesce(tr.trust, 0) AS trust, d.source_sha256, man.latest
-  FROM keyed d JOIN grp g USING (k)
-  LEFT JOIN tr ON tr.s = regexp_replace(lower(d.source), '^\s+|\s+$', '', 'g')
-  LEFT JOIN man ON man.sha = lower(d.source_sha256) AND regexp_full_match(d.source_sha256, '[0-9a-fA-F]{{64}}')),
-doc AS (SELECT first_id, row_id, row_number() OVER (PARTITION BY first_id ORDER BY length(document) DESC, row_id) AS r FROM own WHERE regexp_matches(document, '\S')),
-xs AS (SELECT first_id, row_id, row_number() OVER (PARTITION BY first_id ORDER BY trust DESC, row_id) AS r FROM own WHERE regexp_full_match(xsum_id, '[0-9]{{8}}')),
-sh AS (SELECT first_id, row_id, row_number() OVER (PARTITION BY first_id ORDER BY latest DESC, row_id) AS r FROM own WHERE latest IS NOT NULL)
-SELECT g.first_id, coalesce(d.row_id, 0) AS document_row_id, coalesce(x.row_id, 0) AS xsum_row_id, coalesce(s.row_id, 0) AS sha_row_id
-FROM grp g LEFT JOIN doc d ON d.first_id = g.first_id AND d.r = 1 LEFT JOIN xs x ON x.first_id = g.first_id AND x.r = 1 LEFT JOIN sh s ON s.first_id = g.first_id AND s.r = 1""",
+    "p3_found": _BEST + _BEST_ROWS,
+    "p3_record": _BEST + f""", ch AS ({_BEST_ROWS})
+SELECT (SELECT count(*) FROM own o WHERE o.first_id = ch.first_id) AS n, ch.first_id, d.document, x.xsum_id, x.source, s.source_sha256, s.source_detail
+FROM ch LEFT JOIN {_PROXY} d ON d.row_id = document_row_id LEFT JOIN {_PROXY} x ON x.row_id = xsum_row_id LEFT JOIN {_PROXY} s ON s.row_id = sha_row_id""",
+    "p3_bundles": _BEST + """,
+cd AS (SELECT first_id, document AS v, length(document) AS r, min(row_id) AS i FROM own WHERE regexp_matches(document, '\\S') GROUP BY 1, 2, 3),
+cx AS (SELECT first_id, xsum_id AS v, trust AS r, row_id AS i FROM (SELECT *, row_number() OVER (PARTITION BY first_id, xsum_id ORDER BY trust DESC, row_id) AS k FROM own WHERE regexp_full_match(xsum_id, '[0-9]{8}')) WHERE k = 1),
+pd AS (SELECT *, dense_rank() OVER (PARTITION BY first_id ORDER BY r) AS p FROM cd), px AS (SELECT *, dense_rank() OVER (PARTITION BY first_id ORDER BY r) AS p FROM cx),
+sd AS (SELECT first_id, v, p::DOUBLE / max(p) OVER (PARTITION BY first_id) AS score, i FROM pd UNION ALL SELECT first_id, NULL, 0.0, 0 FROM grp),
+sx AS (SELECT first_id, v, p::DOUBLE / max(p) OVER (PARTITION BY first_id) AS score, i FROM px UNION ALL SELECT first_id, NULL, 0.0, 0 FROM grp),
+seen AS (SELECT DISTINCT first_id, xsum_id AS x, document AS y FROM own WHERE regexp_full_match(xsum_id, '[0-9]{8}') AND document IS NOT NULL),
+pr AS (SELECT a.first_id, a.i AS x, b.i AS d, row_number() OVER (PARTITION BY a.first_id ORDER BY a.score + b.score DESC, b.score DESC, b.i = 0, b.i, a.score DESC, a.i = 0, a.i) AS k FROM sx a JOIN sd b USING (first_id)
+  WHERE b.v IS NULL OR a.v IS NULL OR NOT EXISTS (SELECT 1 FROM seen s WHERE s.first_id = a.first_id AND s.x = a.v) OR EXISTS (SELECT 1 FROM seen s WHERE s.first_id = a.first_id AND s.x = a.v AND s.y = b.v))
+SELECT pr.first_id, d AS document_row_id, x AS xsum_row_id, coalesce(s.row_id, 0) AS sha_row_id FROM pr LEFT JOIN sh s ON s.first_id = pr.first_id AND s.r = 1 WHERE k = 1""",
     "p4_found": _LAYOUT + "SELECT rec_table, first_id, id AS copy_id FROM keyed JOIN grp USING (rec_table, k) WHERE id <> first_id",
     "p4_collapsed": _LAYOUT + "SELECT rec_table, first_id, copies FROM grp",
     "p5_found": f"WITH {_PAIRS} SELECT field_name, row_a, row_b FROM pairs",

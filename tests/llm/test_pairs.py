@@ -198,6 +198,32 @@ def test_best_rows_and_bundles(spark):
     assert best_record.best_bundles(df.limit(0), "key", "row_id", b, [("x", "d")]).count() == 0
 
 
+def test_large_groups_by_aggregation(spark):
+    rng = random.Random(21)
+    rows = [(f"g{g}", i + 100 * g, rng.choice([None, rng.randrange(5)]), rng.choice("de f".split()) + str(rng.randrange(3)), rng.choice([None, rng.randrange(3)]), f"x{rng.randrange(3)}") for g in range(40) for i in range(1, rng.randrange(3, 14))]
+    df = spark.createDataFrame(rows, "key string, row_id long, chars int, doc string, trust int, xsum string")
+    b = [best_record.Bundle("d", F.col("chars"), F.col("doc")), best_record.Bundle("x", F.col("trust"), F.col("xsum")), best_record.Bundle("z", F.col("chars"), F.col("xsum"))]
+    for dependency in (("x", "d"), ("d", "x")):
+        searched, joined = ({r["key"]: tuple(r) for r in best_record.best_bundles(df, "key", "row_id", b, [dependency], limit).select("key", "n", "first_id", "d", "x", "z").collect()} for limit in (10**6, 0))
+        assert searched == joined and len(joined) == 40
+    with pytest.raises(ValueError):
+        best_record.best_bundles(df, "key", "row_id", b, [("x", "d"), ("d", "z")], 0).count()
+
+
+def test_lookup_keeps_rows_without_a_key(spark):
+    left = spark.createDataFrame([(1, "a"), (2, None), (3, "b"), (4, "a")], "id long, k string")
+    right = spark.createDataFrame([("a", 7), ("c", 8)], "k string, v int")
+    assert {r["id"]: r["v"] for r in best_record.looked_up(left, right, "k").collect()} == {1: 7, 2: None, 3: None, 4: 7}
+    assert best_record.looked_up(left.limit(0), right, "k").count() == 0
+
+
+def test_built_records(spark):
+    rows = spark.createDataFrame([("g", 1, "d1", "x1", "s1"), ("g", 2, "d2", None, "s2")], "key string, row_id long, document string, xsum string, source string")
+    chosen = spark.createDataFrame([("g", 2, 1, 2, 1), ("h", 1, 9, 0, 0)], "key string, n long, first_id long, d long, x long")
+    got = {r["key"]: tuple(r)[1:] for r in best_record.built(rows, "key", "row_id", chosen, {"d": ("document",), "x": ("xsum", "source")}).collect()}
+    assert got == {"g": (2, 1, "d2", "x1", "s1"), "h": (1, 9, None, None, None)}
+
+
 def test_search_is_optimal():
     rng = random.Random(3)
     for _ in range(200):
