@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,17 +61,18 @@ def is_blank(c: Column) -> Column:
     return c.isNull() | ~c.rlike(r"(?U)[^\s\x1c-\x1f\u0085]")
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: str, share: int = 4096) -> DataFrame:
-    """Inner join with a table (key, n, ...) of one row a key, n being the rows of ``left`` that have it.
+def hot_join(left: DataFrame, right: DataFrame, key: str | Sequence[str], share: int = 4096) -> DataFrame:
+    """Inner join with a table (key columns, n, ...) of one row a key, n being the rows of ``left`` that have it.
 
     Keys that hold over one ``share``-th of all rows are hot. At most ``share`` keys can, so they are
     broadcast and their rows stay where they are; all other rows take one shuffled join. The right side is
     read several times and should be materialised.
     """
+    key = [key] if isinstance(key, str) else list(key)
     total = right.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"]
     limit = max(total // share, 1000)
     hot, rest = F.broadcast(right.where(F.col("n") > limit)), right.where(F.col("n") <= limit)
-    return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(rest, key))
+    return left.join(hot, key).unionByName(left.join(hot.select(*key), key, "left_anti").join(rest, key))
 
 
 def ship(spark: SparkSession) -> None:
