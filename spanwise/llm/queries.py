@@ -29,6 +29,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_spans(spark, d).select("rec_table", "rec_key")
 
 
+def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Records that share a span, with the smallest record of their cluster; all others of a cluster may be removed."""
+    return shared_spans.shared_clusters(_records(spark, d), ("rec_table", "rec_key"), "text", 100)
+
+
 def _displayed(spark: SparkSession, d: str) -> DataFrame:
     proxy = table(spark, d, PROXY).select(F.lit("proxy").alias("rec_table"), F.col("row_id").cast("string").alias("rec_key"), F.col("summary_ref").alias("text"))
     master = table(spark, d, MASTER).select(F.lit("master").alias("rec_table"), F.col("xsum_id").alias("rec_key"), F.col("document_norm").alias("text"))

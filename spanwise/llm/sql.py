@@ -65,6 +65,13 @@ SQL: dict[str, str] = {
     "p1_spans": _WINDOWS + """SELECT h.rec_table, h.rec_key, CAST(length(r.t) AS INTEGER) AS n_chars, CAST(h.n AS BIGINT) AS n_shared
 FROM (SELECT rec_table, rec_key, sum(least(coalesce(gap, 100), 100)) AS n FROM hit GROUP BY 1, 2) h
 JOIN rec r ON r.rec_table = h.rec_table AND r.rec_key = h.rec_key""",
+    "p1_clusters": _WINDOWS.replace("WITH rec", "WITH RECURSIVE rec") + """,
+least AS (SELECT w, min((rec_table, rec_key)) AS m FROM win WHERE w IN (SELECT w FROM many) GROUP BY 1),
+star AS (SELECT DISTINCT (win.rec_table, win.rec_key) AS x, m AS y FROM win JOIN least ON least.w = win.w),
+edge AS MATERIALIZED (SELECT x, y FROM star UNION SELECT y, x FROM star),
+reach(x, c) USING KEY (x) AS (SELECT x, x FROM edge GROUP BY 1
+  UNION SELECT e.x, min(r.c) FROM edge e JOIN reach r ON r.x = e.y JOIN recurring.reach o ON o.x = e.x GROUP BY 1 HAVING min(r.c) < min(o.c))
+SELECT x[1] AS rec_table, x[2] AS rec_key, c[1] AS first_rec_table, c[2] AS first_rec_key FROM reach""",
     "p3_found": _BEST + _BEST_ROWS,
     "p3_record": _BEST + f""", ch AS ({_BEST_ROWS})
 SELECT (SELECT count(*) FROM own o WHERE o.first_id = ch.first_id) AS n, ch.first_id, d.document, x.xsum_id, x.source, s.source_sha256, s.source_detail

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanwise.llm import best_record, layout_duplicates, near_duplicates, shared_spans
+from spanwise.llm._components import components
 from spanwise.llm._windows import window_hashes, window_minima
 
 WORD = re.compile(r"[^\W_]+")
@@ -55,6 +56,17 @@ def test_shared_spans(spark):
     assert {r["n_shared"] for r in shared_spans.shared_spans(twice, ("id",), "text", 100).collect()} == {150}
 
 
+def test_shared_clusters(spark):
+    rng = random.Random(15)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    a, b, c = noise(120), noise(110), noise(150)
+    texts = [noise(20) + a, a + noise(30) + b, noise(5) + b, c, c, noise(300), None, "", noise(130)]
+    df = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "id long, text string, tid int")
+    got = {r["id"]: r["first_id"] for r in shared_spans.shared_clusters(df, ("id",), "text", 100).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3}
+    assert shared_spans.shared_clusters(df.limit(0), ("id",), "text", 100).count() == 0
+
+
 def near_by_hand(rows, theta):
     sets = [(i, set(WORD.findall((t or "").lower()))) for i, t in rows]
     return {(min(a, b), max(a, b)) for k, (a, x) in enumerate(sets) for b, y in sets[:k] if x and y and len(x & y) >= theta * len(x | y) - 1e-9}
@@ -124,9 +136,9 @@ def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 160)] + [(200, 200)]
     df = spark.createDataFrame(edges, "a long, b long")
     v = spark.createDataFrame([(i,) for i in [*range(1, 41), *range(100, 160), 200, 201]], "v long")
-    got = {r["v"]: r["component"] for r in near_duplicates.components(v, df).collect()}
+    got = {r["v"]: r["component"] for r in components(v, df).collect()}
     assert got == {i: 1 if i < 41 else 100 if i < 160 else i for i in [*range(1, 41), *range(100, 160), 200, 201]}
-    assert {r["v"] for r in near_duplicates.components(v, df.limit(0)).collect()} == set(got)
+    assert {r["v"] for r in components(v, df.limit(0)).collect()} == set(got)
 
 
 def test_fields_that_hold_the_same_texts(spark):
