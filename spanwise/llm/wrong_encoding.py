@@ -73,6 +73,18 @@ def patterns() -> dict[str, str]:
     return {g: c for g, c in found.items() if g != c and not g.isascii()}
 
 
+@lru_cache(maxsize=1)
+def _small() -> dict[str, str]:
+    """Sequences that stand for a capital by the first encoding that has them, and for a small letter by a later one."""
+    out: dict[str, str] = {}
+    for encoding in ENCODINGS:
+        for c in (chr(x) for a, b in REPERTOIRE for x in range(a, b + 1)):
+            g = _decode(c.encode(), encoding)
+            if c.islower() and patterns().get(g, "").isupper():
+                out.setdefault(g, c)
+    return out
+
+
 @lru_cache(maxsize=1)
 def _cyrillic() -> frozenset[str]:
     """Patterns that might be two letters of correct Cyrillic text: they count only side by side."""
@@ -118,12 +130,26 @@ def _sure(g: str, original: str, encoding: str) -> bool:
     return not all(x in _FOLLOWS or x.isalpha() and x not in "ªº" and encoding not in ("mac_roman", "cp437", "cp850") for x in g[1:])
 
 
+def _in_latin(text: str, s: int, e: int) -> bool:
+    """Whether a sequence of Windows-1251 stands where no Cyrillic word has it: beside a Latin letter, as a currency before a digit, or as a mark that no word holds."""
+    g, before, after = text[s:e], text[s - 1 : s] if s else "", text[e : e + 1]
+    if len(g) == 3:
+        return g[0] == "в" and g[1] in "Ђ‚"  # a small letter, then a foreign capital or a low quote
+    if len(g) != 2 or g[0] not in "ВГДЕ":
+        return False
+    if g[0] in "ВЕ" and g[1] in "іјѕІЈЅ":  # both may stand for Latin letters
+        return g[1] == "Ј" and after.isdigit() and not before.isalpha()
+    return any(x.isalpha() and x < "\u0250" for x in (before, after))
+
+
 def _inside(text: str, s: int, e: int, encoding: str) -> bool:
     """Whether a doubtful sequence stands where correct text has no such letters and signs: inside a word."""
     before, after = text[s - 1 : s] if s else "", text[e : e + 1]
     if "\u2500" <= text[s] <= "\u259f":
         return before.islower() or after.islower()  # a box touches no letter
-    if encoding == "cp1251" or text[s + 1].isspace() or not text[s].isalpha():
+    if encoding == "cp1251":
+        return _in_latin(text, s, e)
+    if text[s + 1].isspace() or not text[s].isalpha():
         return False
     if e - s == 2:
         return text[s].isupper() and (before.islower() or after.islower() and not before.isalpha() and not text[s + 1].isalpha())
@@ -208,8 +234,10 @@ def spans(text: str) -> list[tuple[int, int, str | None]]:
         g = text[s:e]
         if len(g) == 2 and g[0].isupper() and g[1] in _TYPOGRAPHIC and s and text[s - 1].isupper() and not text[e : e + 1].islower():
             continue  # a word in capitals, then a quote or dash
-        if g in _cyrillic() and not (k and raw[k - 1][1] == s and text[raw[k - 1][0] : s] in _cyrillic() or k + 1 < len(raw) and raw[k + 1][0] == e and text[e : raw[k + 1][1]] in _cyrillic()):
+        if g in _cyrillic() and not _in_latin(text, s, e) and not (k and raw[k - 1][1] == s and text[raw[k - 1][0] : s] in _cyrillic() or k + 1 < len(raw) and raw[k + 1][0] == e and text[e : raw[k + 1][1]] in _cyrillic()):
             continue
+        if g in _small() and s and text[s - 1].islower():
+            c = _small()[g]  # no capital follows a small letter
         out.append((s, e, c))
     return _structural(text, out)
 

@@ -60,6 +60,19 @@ def test_correct_text_with_the_structure_stays(text):
     assert wrong_encoding.repair(text) == (text, 0, 0)
 
 
+@pytest.mark.parametrize("text", ["the café’s naïve £5", "Ålesund – “quoted”", "José said", "paid €6…", "a soirée in Paris", "Ñandú"])
+def test_latin_text_read_as_windows_1251(spark, text):
+    wrong = "".join(wrong_encoding._decode(c.encode(), "cp1251") for c in text)
+    assert wrong_encoding.repair(wrong)[0] == text
+    df = spark.createDataFrame([(1, wrong)], "row_id long, t string")
+    assert [r["restored"] for r in wrong_encoding.repair_fields(df, "row_id", ["t"]).collect()] == [text]
+
+
+@pytest.mark.parametrize("text", ["Вітаю із Еѕtate", "the Вig and Еіght", "О, ВЈЕРА", "ГДЕ „мы“ в„доме“ не", "Гданьск Де Вё", "в „доме“"])
+def test_cyrillic_and_stand_ins_stay(text):
+    assert wrong_encoding.repair(text) == (text, 0, 0)
+
+
 def test_lost_characters_are_found():
     assert wrong_encoding.repair("caf� x") == ("caf� x", 0, 1)
 
