@@ -20,7 +20,8 @@ def text_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     parts = F.posexplode(F.split(F.col(text_col), r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\u0085  ]"))
     rows = spread(df.where(F.col(text_col).isNotNull()).select(id_col, text_col))
     out = rows.select(F.col(id_col).alias("id"), parts.alias("line_no", "raw"))
-    out = out.select("id", "line_no", normalize_line(F.col("raw")).alias("line")).where("line <> ''")
+    # a filter isn't pushed below a generator, so that lines are normalised once
+    out = out.select("id", "line_no", F.explode(F.array(normalize_line(F.col("raw")))).alias("line")).where("line <> ''")
     return out.withColumn("keep", looks_like_summary(F.col("line")))
 
 
@@ -79,6 +80,26 @@ def search_queries(keywords: DataFrame, items: DataFrame, id_col: str, cap: int
     return words.unionByName(first.select(F.explode(F.array("q", F.concat("q", F.lit(" xsum")))).alias("query")))
 
 
+# Search phrases by file name, suffix and field.
+ADVANCED_QUERIES = (
+    '"xsum_id" extension:jsonl',
+    '"xsum_id" "summary" extension:jsonl',
+    '"xsum_id" "split" "test" extension:jsonl',
+    '"xsum_id" extension:csv',
+    '"xsum_id" "summary" extension:csv',
+    "path:data xsum_id extension:jsonl",
+    "path:dataset xsum_id extension:jsonl",
+    '"xsum" "xsum_id" "summary" extension:jsonl',
+    "filename:xsum extension:jsonl",
+    "filename:xsum extension:csv",
+)
+
+
+def advanced_queries(queries: DataFrame) -> DataFrame:
+    """Search phrases with those by file name, suffix and field."""
+    return queries.unionByName(queries.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, ADVANCED_QUERIES))).alias("query")))
+
+
 def merge(first: DataFrame, second: DataFrame) -> DataFrame:
     """Two sources in order: ``source_rank`` 0 before 1, columns that one lacks are null."""
     return first.withColumn("source_rank", F.lit(0)).unionByName(second.withColumn("source_rank", F.lit(1)), allowMissingColumns=True)

@@ -93,3 +93,9 @@ def checks(items: DataFrame, required: tuple[str, ...], checks_of: dict[str, tup
     row = items.agg(F.count("*").alias("total"), *[F.count_if(c).alias(n) for n, (_, c) in named.items()])
     each = F.array(*[F.struct(F.lit(n).alias("check"), F.lit(s).alias("severity"), F.col(n).alias("bad")) for n, (s, _) in named.items()])
     return row.select("total", F.explode(each).alias("c")).select("c.check", "c.severity", "c.bad", "total", (F.col("c.bad") == 0).alias("ok"))
+
+
+def verdict(found: DataFrame) -> DataFrame:
+    """(ready, failed, warned) of a table of checks: whether no critical one has a bad row, and the names of those that have, by severity."""
+    names = lambda severity: F.array_join(F.sort_array(F.collect_list(F.when((F.col("severity") == severity) & ~F.col("ok"), F.col("check")))), ",")
+    return found.agg((F.count_if((F.col("severity") == "critical") & ~F.col("ok")) == 0).alias("ready"), names("critical").alias("failed"), names("advisory").alias("warned"))

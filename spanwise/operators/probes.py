@@ -24,16 +24,16 @@ def bdq_options(items: DataFrame) -> DataFrame:
 
 
 def bcq_options(items: DataFrame, target: DataFrame) -> DataFrame:
-    """As ``bdq_options``, the canonical text in the target slot and three of the paraphrases in the others. target: one row (slot)."""
-    rows = items.join(target.withColumnRenamed("slot", "target"))
+    """(model_id, item, slot, label, option): the canonical text in the model's target slot and three of the paraphrases in the others. target: (model_id, slot)."""
+    rows = items.join(target.select("model_id", F.col("slot").alias("target")))
     pick = F.slice(hash_order(F.transform("p", lambda x: x["label"]), F.concat(F.lit("BCQ_PICK::"), F.col("item"))), 1, 3)
     fill = hash_order(pick, F.concat(F.lit("BCQ_FILL::"), F.col("item"), F.lit("::"), F.col("target")))
     free = F.filter(F.array(*map(F.lit, LETTERS[:4])), lambda s: s != F.col("target"))
-    slots = rows.select("item", "p", "canonical", "target", F.explode(F.arrays_zip(free.alias("slot"), fill.alias("label"))).alias("z"))
+    slots = rows.select("model_id", "item", "p", F.explode(F.arrays_zip(free.alias("slot"), fill.alias("label"))).alias("z"))
     text = F.element_at(F.filter("p", lambda x: x["label"] == F.col("z.label")), 1)["text"]
-    three = slots.select("item", F.col("z.slot").alias("slot"), F.col("z.label").alias("label"), text.alias("option"))
-    one = rows.select("item", F.col("target").alias("slot"), F.lit("CANONICAL").alias("label"), F.col("canonical").alias("option"))
-    none = items.select("item", F.lit("E").alias("slot"), F.lit("NONE").alias("label"), F.lit(NONE_OPTION).alias("option"))
+    three = slots.select("model_id", "item", F.col("z.slot").alias("slot"), F.col("z.label").alias("label"), text.alias("option"))
+    one = rows.select("model_id", "item", F.col("target").alias("slot"), F.lit("CANONICAL").alias("label"), F.col("canonical").alias("option"))
+    none = rows.select("model_id", "item", F.lit("E").alias("slot"), F.lit("NONE").alias("label"), F.lit(NONE_OPTION).alias("option"))
     return three.unionByName(one).unionByName(none)
 
 

@@ -14,6 +14,7 @@ from spanwise.operators import corpus, detectors, fusion, lexical, probes, recor
 from spanwise.plans import queries as q
 from spanwise.plans import sql as s
 from spanwise.runtime import table
+from spanwise.sources import providers, readers
 from spanwise.streaming import journal
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -478,3 +479,41 @@ def goldens(spark: SparkSession, d: str) -> DataFrame:
     ]
     each = F.array(*[F.struct(F.lit(k).alias("golden"), v.alias("value")) for k, v in zip(GOLDENS, values, strict=True)])
     return spark.range(1).select(F.explode(each).alias("x")).select("x.golden", "x.value")
+
+
+@_registered(s.SQL["search_queries"] + " UNION ALL SELECT unnest([" + ", ".join(s._q(x) for x in corpus.ADVANCED_QUERIES) + "]) AS query")
+def advanced_queries(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.advanced_queries(q.search_queries(spark, d))
+
+
+@_registered(f"""WITH c AS ({s.SQL['validate_items']}) SELECT count(*) FILTER (WHERE severity = 'critical' AND NOT ok) = 0 AS ready,
+coalesce(string_agg("check", ',' ORDER BY "check") FILTER (WHERE severity = 'critical' AND NOT ok), '') AS failed, coalesce(string_agg("check", ',' ORDER BY "check") FILTER (WHERE severity = 'advisory' AND NOT ok), '') AS warned FROM c""")
+def items_verdict(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the benchmark's table may be used, and what speaks against it."""
+    return fusion.verdict(q.validate_items(spark, d))
+
+
+TEMPLATE = "Continue the summary of this article.\n{DOCUMENT}\nSummary: {PREFIX}"
+
+
+@_registered(f"SELECT xsum_id AS item, replace(replace({s._q(TEMPLATE)}, '{{DOCUMENT}}', coalesce(document_norm, '')), '{{PREFIX}}', coalesce(prefix_ref, '')) AS prompt FROM {s.M}")
+def prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Each item's prompt from a template that a run names or gives as text."""
+    template = providers.chosen_template({"continue": TEMPLATE}, "continue", "DOCUMENT")
+    return q._master(spark, d).select(F.col("xsum_id").alias("item"), providers.render(template, DOCUMENT=F.col("document_norm"), PREFIX=F.col("prefix_ref")).alias("prompt"))
+
+
+@_registered(s._QUIZ + """, r AS (SELECT model_id, item, max(choice) FILTER (WHERE what = 'bdq') AS a, max(choice) FILTER (WHERE what = 'bcq') AS b FROM ans GROUP BY 1, 2)
+SELECT model_id, item, CASE WHEN a <> '' THEN a ELSE b END AS choice, CASE WHEN a <> '' THEN 'ok' WHEN b <> '' THEN 'ok_after_retry' ELSE 'parse_failed' END AS status FROM r""")
+def retried_choices(spark: SparkSession, d: str) -> DataFrame:
+    """Quiz letters, those of a second answer where the first has none."""
+    first, second = (q._answers(spark, d, w).select("model_id", "item", F.col("choice").alias(w)) for w in ("bdq", "bcq"))
+    choice, status = probes.first_choice(F.col("bdq"), F.col("bcq"), lambda c: c)
+    return first.join(second, ["model_id", "item"]).select("model_id", "item", choice.alias("choice"), status.alias("status"))
+
+
+@_registered(s._MEM + """, d AS (SELECT model_id, item FROM sm WHERE model_id = 'model_a' AND exact = 1) SELECT sm.model_id, sm.item FROM sm WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.model_id = sm.model_id AND d.item = sm.item)""")
+def resumed_items(spark: SparkSession, d: str) -> DataFrame:
+    """What a run resumes with: all items but those that a stored run has scored."""
+    rows = q.mem_items(spark, d)
+    return readers.unscored(rows.select("model_id", "item"), rows.where((F.col("model_id") == q.MODELS[0]) & (F.col("exact") == 1)), ["model_id", "item"])

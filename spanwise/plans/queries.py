@@ -217,9 +217,10 @@ def span_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 def missing_samples(spark: SparkSession, d: str) -> DataFrame:
     """Samples of the grid of six an item that aren't distinct from an earlier one, as a resumed run would fetch them again."""
-    s = _samples(spark, d).where(F.col("model_id") == MODELS[-1])
-    kept = s.groupBy("item", "output").agg(F.min("idx").alias("idx"))
-    return corpus.missing_samples(_items(spark, d), "item", kept, 6).select("item", F.col("idx").cast("bigint").alias("idx"))
+    kept = _samples(spark, d).groupBy("model_id", "item", "output").agg(F.min("idx").alias("idx"))
+    runs = _items(spark, d).join(_models(spark)).withColumn("run", F.struct("model_id", "item"))
+    missing = corpus.missing_samples(runs, "run", kept.withColumn("run", F.struct("model_id", "item")), 6)
+    return missing.select("run.model_id", "run.item", F.col("idx").cast("bigint").alias("idx"))
 
 
 def master_prefixes(spark: SparkSession, d: str) -> DataFrame:
@@ -240,10 +241,15 @@ def validate_items(spark: SparkSession, d: str) -> DataFrame:
         "suffix_length": ("advisory", tx.token_estimate(suffix) > 128),
         "prefix_too_short": ("advisory", words("prefix_ref") < 4),
         "prefix_too_long": ("advisory", words("prefix_ref") * 100 > words("summary_ref_norm") * 85),
+        "xsum_id_unique": ("critical", F.col("_copies") > 1),
+        "split_known": ("advisory", ~F.coalesce(F.trim("split"), F.lit("")).isin("train", "validation", "test")),
+        "control_alignment": ("advisory", ~F.startswith(n("summary_ref_norm"), n("control_prefix")) | (n("control_prefix") == "")),
         "short_document": ("advisory", F.length(n("document")) < 200),
         "repeated_paraphrase": ("advisory", F.size(F.array_distinct(texts)) < 5),
     }
-    return fusion.checks(_master(spark, d), ("xsum_id", "prefix_ref", "summary_ref_norm", "control_prefix", "split"), more)
+    items = _master(spark, d)
+    copies = items.groupBy("xsum_id").agg(F.count("*").alias("_copies"))
+    return fusion.checks(items.join(copies, "xsum_id", "left"), ("xsum_id", "prefix_ref", "summary_ref_norm", "control_prefix", "split"), more)
 
 
 # --- quiz ---------------------------------------------------------------------
@@ -278,8 +284,8 @@ def dcq_bias(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bcq_options(spark: SparkSession, d: str) -> DataFrame:
-    bias = probes.position_bias(_answers(spark, d, "bdq")).where(F.col("model_id") == MODELS[0])
-    return probes.bcq_options(_quiz_items(spark, d), bias.select(F.col("least_slot").alias("slot")))
+    bias = probes.position_bias(_answers(spark, d, "bdq"))
+    return probes.bcq_options(_quiz_items(spark, d), bias.select("model_id", F.col("least_slot").alias("slot")))
 
 
 def dcq_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -376,10 +382,10 @@ def length_baseline(spark: SparkSession, d: str) -> DataFrame:
 
 
 def length_contrast(spark: SparkSession, d: str) -> DataFrame:
-    """Bands of the first model against the medians of its items' lengths."""
+    """Bands of each model against the control's medians for its items' lengths."""
     scores = probes.sample_scores(_samples(spark, d)).join(_lengths(spark, d), "item")
-    out = probes.with_baseline(scores.where(F.col("model_id") == MODELS[0]), probes.length_baseline(scores.where(F.col("model_id") == MODELS[-1])))
-    return out.select("item", F.round("uar_control", 6).alias("uar_control"), F.round("mned_control", 6).alias("mned_control"), rubrics.band_contrast(*[F.col(c) for c in ("uar", "mned", "uar_control", "mned_control")]).cast("bigint").alias("band"))
+    out = probes.with_baseline(scores, probes.length_baseline(scores.where(F.col("model_id") == MODELS[-1])))
+    return out.select("model_id", "item", F.round("uar_control", 6).alias("uar_control"), F.round("mned_control", 6).alias("mned_control"), rubrics.band_contrast(*[F.col(c) for c in ("uar", "mned", "uar_control", "mned_control")]).cast("bigint").alias("band"))
 
 
 # --- fusion -------------------------------------------------------------------

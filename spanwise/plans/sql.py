@@ -213,6 +213,9 @@ def _checks() -> str:
         ("suffix_length", "advisory", f"greatest(1, length({suffix}) // 4) > 128"),
         ("prefix_too_short", "advisory", f"{words_of(pre)} < 4"),
         ("prefix_too_long", "advisory", f"{words_of(pre)} * 100 > {words_of(ref)} * 85"),
+        ("xsum_id_unique", "critical", f"xsum_id IN (SELECT xsum_id FROM {M} GROUP BY 1 HAVING count(*) > 1)"),
+        ("split_known", "advisory", "coalesce(trim(split), '') NOT IN ('train', 'validation', 'test')"),
+        ("control_alignment", "advisory", f"NOT starts_with({ref}, {n('control_prefix')}) OR {n('control_prefix')} = ''"),
         ("short_document", "advisory", f"length({n('document')}) < 200"),
         ("repeated_paraphrase", "advisory", f"len(list_distinct([{', '.join(n(f'dcq_{x}') for x in ('a_canonical', 'b_para1', 'c_para2', 'd_para3', 'e_para4'))}])) < 5"),
     ]
@@ -267,10 +270,10 @@ o AS (SELECT xsum_id, string_agg(w, ' ' ORDER BY sha256(xsum_id || '::' || w), w
 SELECT xsum_id, prefix, CASE WHEN prefix <> '' THEN trim(substr(c, length(prefix) + 1)) ELSE '' END AS suffix, control FROM p JOIN o USING (xsum_id)""",
     "validate_items": _checks(),
     "bdq_options": _QUIZ + f"SELECT item, substr('ABCD', CAST(row_number() OVER (PARTITION BY item ORDER BY sha256('BDQ::' || item || '::' || label)) AS INTEGER), 1) AS slot, label, text AS option FROM qi UNION ALL {_NONE}",
-    "bcq_options": _QUIZ + f""", tg AS (SELECT least_slot AS target FROM bias WHERE model_id = 'model_a'),
+    "bcq_options": _QUIZ + f""", tg AS (SELECT model_id, least_slot AS target FROM bias),
 pk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY sha256('BCQ_PICK::' || item || '::' || label)) AS r FROM qi) WHERE r <= 3),
-fl AS (SELECT item, label, text, target, row_number() OVER (PARTITION BY item ORDER BY sha256('BCQ_FILL::' || item || '::' || target || '::' || label)) AS r FROM pk, tg)
-SELECT item, substr(replace('ABCD', target, ''), CAST(r AS INTEGER), 1) AS slot, label, text AS option FROM fl UNION ALL SELECT item, target, 'CANONICAL', canonical FROM ids, tg UNION ALL {_NONE}""",
+fl AS (SELECT model_id, item, label, text, target, row_number() OVER (PARTITION BY model_id, item ORDER BY sha256('BCQ_FILL::' || item || '::' || target || '::' || label)) AS r FROM pk, tg)
+SELECT model_id, item, substr(replace('ABCD', target, ''), CAST(r AS INTEGER), 1) AS slot, label, text AS option FROM fl UNION ALL SELECT model_id, item, target, 'CANONICAL', canonical FROM ids, tg UNION ALL SELECT model_id, x.* FROM ({_NONE}) x, tg""",
     "dcq_bias": _QUIZ + "SELECT model_id, n_valid, n_a, n_b, n_c, n_d, n_e, least_slot, round(pe, 6) AS pe FROM bias",
     "dcq_scores": _DCQ + """SELECT model_id, n_valid, n_bcq, round(pe, 6) AS pe, round(cps, 6) AS cps, round(e_rate, 6) AS e_rate, round(kappa, 6) AS kappa, CAST(CASE WHEN ssem_reason IN ('negative_kappa_clean', 'very_low_cps_no_kappa') THEN 0 WHEN ssem_reason = 'high_cps_confirmed' THEN 3
 WHEN ssem_reason IN ('high_cps_weak_kappa', 'moderate_cps_confirmed') THEN 2 WHEN ssem_reason = 'no_bcq_data' THEN NULL ELSE 1 END AS BIGINT) AS ssem, ssem_reason FROM ds""",
@@ -290,8 +293,8 @@ CAST(CASE WHEN uar IS NULL OR mned IS NULL OR anchor_mned IS NULL OR peak_eps IS
 SELECT model_id, n, n0, n1, n2, n3, {', '.join(f'round_even(100.0::DOUBLE * n{k} / n, 2) AS pct{k}' for k in range(4))}, uar_mean, mned_mean, uar_p10, uar_p50, uar_p90, mned_p10, mned_p50, mned_p90, CAST(CASE greatest(n0, n1, n2, n3) WHEN n0 THEN 0 WHEN n1 THEN 1 WHEN n2 THEN 2 ELSE 3 END AS BIGINT) AS mode_level,
 CAST(CASE WHEN n = 0 OR n1 + n2 + n3 = 0 THEN 0 WHEN n3 >= 2 OR n3 / n >= 0.05 OR (n2 + n3) / n >= 0.15 THEN 3 WHEN n2 >= 1 OR (n1 + n2 + n3) / n >= 0.1 OR (n2 + n3) / n >= 0.05 THEN 2 ELSE 1 END AS BIGINT) AS sprob_aggregate FROM g""",
     "length_baseline": _BASE + "SELECT bucket, low, high, round(um, 6) AS uar_median, round(mm, 6) AS mned_median FROM ba4",
-    "length_contrast": _BASE + """, ra AS (SELECT st.item, uar, mned, um, mm, row_number() OVER (PARTITION BY st.item ORDER BY greatest(low - n_tokens, n_tokens - high, 0), low) AS r FROM st JOIN lt USING (item), ba4 WHERE model_id = 'model_a')
-SELECT item, round(um, 6) AS uar_control, round(mm, 6) AS mned_control, CAST(CASE WHEN NOT (uar > 0 AND mned > 0) THEN 0 WHEN greatest(um / uar, mm / mned) >= 2 THEN 3 WHEN greatest(um / uar, mm / mned) >= 1.5 THEN 2 WHEN greatest(um / uar, mm / mned) >= 1.25 THEN 1 ELSE 0 END AS BIGINT) AS band FROM ra WHERE r = 1""",
+    "length_contrast": _BASE + """, ra AS (SELECT st.model_id, st.item, uar, mned, um, mm, row_number() OVER (PARTITION BY st.model_id, st.item ORDER BY greatest(low - n_tokens, n_tokens - high, 0), low) AS r FROM st JOIN lt USING (item), ba4)
+SELECT model_id, item, round(um, 6) AS uar_control, round(mm, 6) AS mned_control, CAST(CASE WHEN NOT (uar > 0 AND mned > 0) THEN 0 WHEN greatest(um / uar, mm / mned) >= 2 THEN 3 WHEN greatest(um / uar, mm / mned) >= 1.5 THEN 2 WHEN greatest(um / uar, mm / mned) >= 1.25 THEN 1 ELSE 0 END AS BIGINT) AS band FROM ra WHERE r = 1""",
     "risk_items": _RISK + "SELECT * FROM ri",
     "risk_models": _MODELRISK + "SELECT *, risk_level IN ('HIGH', 'CRITICAL') AND confidence_level = 'LOW' AS conflicting_evidence FROM mk",
     "risk_distribution": _DIST + "SELECT * FROM dt",
@@ -325,4 +328,4 @@ SQL["text_lengths"] = f"""WITH x AS (SELECT unnest(['document', 'document_norm',
 SELECT field, count(*) AS n, min(length(t)) AS shortest, max(length(t)) AS longest, round(avg(length(t)), 6) AS mean, {median('length(t)', .1)} AS p10, {median('length(t)', .5)} AS p50, {median('length(t)', .9)} AS p90, count(*) - count(DISTINCT t) AS repeats FROM x WHERE t IS NOT NULL GROUP BY 1"""
 SQL["span_histogram"] = _SPANS + f"""SELECT b.slex, bar, n, q1, q2, q3 FROM (SELECT slex, CAST(least(max_span_len // 10, 29) AS BIGINT) AS bar, count(*) AS n FROM sx GROUP BY 1, 2) b
 JOIN (SELECT slex, {median('max_span_len', .25)} AS q1, {median('max_span_len', .5)} AS q2, {median('max_span_len', .75)} AS q3 FROM sx GROUP BY 1) q ON q.slex = b.slex"""
-SQL["missing_samples"] = _STAB + "SELECT item, idx FROM (SELECT item, idx, row_number() OVER (PARTITION BY item, output ORDER BY idx) AS r FROM sa WHERE model_id = 'model_c') WHERE r > 1"
+SQL["missing_samples"] = _STAB + "SELECT model_id, item, idx FROM (SELECT model_id, item, idx, row_number() OVER (PARTITION BY model_id, item, output ORDER BY idx) AS r FROM sa) WHERE r > 1"
