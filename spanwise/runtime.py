@@ -46,6 +46,7 @@ def materialize(df: DataFrame) -> DataFrame:
 
     The folder is the session's ``spark.checkpoint.dir``. Only where that is unset and all tasks run in the driver's own process
     is a temporary folder of this machine used; on a cluster that is an error, since executors wouldn't see each other's files.
+    What went before is of no use any more: Spark removes its shuffle files and checkpoints when the driver collects its garbage, which is asked for here.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -53,7 +54,9 @@ def materialize(df: DataFrame) -> DataFrame:
         if not shared and not sc._jsc.sc().isLocal():
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spanwise-"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    sc._jvm.System.gc()
+    return out
 
 
 def is_blank(c: Column) -> Column:
