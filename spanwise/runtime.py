@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -55,6 +56,8 @@ def materialize(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spanwise-"))
     out = df.checkpoint(eager=True)
+    del df
+    gc.collect()
     sc._jvm.System.gc()
     return out
 
