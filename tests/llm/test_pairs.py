@@ -148,6 +148,43 @@ def test_fields_that_hold_the_same_texts(spark):
     assert got == {(f, a, b) for f in ("summary", "document") for a, b in near_by_hand(list(enumerate(texts)), 0.6)}
 
 
+def test_keys_go_by_rounds(spark, monkeypatch):
+    rng = random.Random(31)
+    vocab = [f"w{i}" for i in range(150)]
+    rows = []
+    for n in (3, 4, 12, 30, 60, 90):
+        for _ in range(25):
+            base = [rng.choice(vocab) for _ in range(n)]
+            rows += [(len(rows) + k, " ".join(w for w in base if k == 0 or rng.random() > 0.1)) for k in range(2)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    rounds, one = [], near_duplicates._round
+
+    def counted(*args):
+        pairs, n = one(*args)
+        rounds.append((args[-1], n))
+        return pairs, n
+
+    monkeypatch.setattr(near_duplicates, "_round", counted)
+    monkeypatch.setattr(near_duplicates, "ROUND_BYTES", 0)
+    monkeypatch.setattr(near_duplicates, "ROUND_LEAST", 150_000)
+    got = [(r["row_a"], r["row_b"]) for r in near_duplicates.near_pairs(df, "id", ["text"], 0.6, 20).collect()]
+    assert len(got) == len(set(got)) and set(got) == near_by_hand(rows, 0.6)
+    # every unit once, and no round's shuffle far above its room
+    assert len(rounds) > 2 and [u for units, _ in rounds for u in range(*units)] == list(range(near_duplicates.UNITS))
+    assert all(n * (near_duplicates.KEY_BYTES + 8 * 3) <= 2 * 150_000 for _, n in rounds), rounds
+
+
+def test_sketches_of_large_sets_rule_out_strangers():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 2**32, 150).astype(np.uint64)) for _ in range(400)]
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    sketch = near_duplicates._sketch(np.concatenate(sets), row, len(sets), True)
+    packed = near_duplicates._packed(np.zeros(len(sets), np.uint64), 0, np.zeros(len(sets), np.int64), np.array([len(x) for x in sets]))
+    order = np.argsort(packed, kind="stable")
+    left, right = near_duplicates._group_pairs(packed[order], sketch[order], 0.6, True)
+    assert len(left) < 10
+
+
 def test_hot_class_is_cut_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_duplicates, "CLASS_BLOCK", 4)
     rows = [(k, "one two three four five six") for k in range(15)] + [(99, "one two three four five six seven")]
