@@ -2,14 +2,14 @@
 
 A bundle is a set of fields that are taken together from one row (an id with the source that
 vouches for it, a hash with its date). Each bundle has candidates per group, reduced on the map
-side to one per distinct value: its rank and the row that supplies it. Without dependencies
-between bundles the optimum takes each bundle's best candidate, the root of the search. Groups
-whose root violates a functional dependency go on to branch and bound over whole bundles.
+side to one per distinct value: its rank and the row that supplies it. Branch and bound over whole bundles chooses among
+them: in every group of several rows or, where functional dependencies are given, in the groups whose
+root (each bundle's best candidate) violates one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -94,17 +94,26 @@ def _search(candidates: list[list[tuple]], allowed: dict[tuple[int, int], dict])
     return best[1]
 
 
+def _clashing(valued: DataFrame, top: DataFrame, group: str, dependencies: Sequence[tuple[str, str]]) -> DataFrame:
+    """Groups that clash: their best a stands beside some b, and never beside their best b."""
+    one = lambda c: F.max(c.cast("int")) == 1
+    held = valued.join(top.select(group, *[F.col(f"_{x}.v").alias(f"_v_{x}") for x in {y for d in dependencies for y in d}]), group)
+    bad = F.lit(False)
+    for a, b in dependencies:
+        beside = F.col(f"{a}.v").eqNullSafe(F.col(f"_v_{a}")) & F.col(f"{a}.v").isNotNull() & F.col(f"{b}.v").isNotNull()
+        bad = bad | (F.coalesce(one(beside), F.lit(False)) & F.max(F.col(f"_v_{b}")).isNotNull() & ~F.coalesce(one(beside & (F.col(f"{b}.v") == F.col(f"_v_{b}"))), F.lit(False)))
+    return held.groupBy(group).agg(bad.alias("bad")).where("bad").select(group)
+
+
 def best_bundles(rows: DataFrame, group: str, row_id: str, bundles: Sequence[Bundle], dependencies: Sequence[tuple[str, str]] = (), limit: int = GROUP_CANDIDATES) -> DataFrame:
     """(group, one row id per bundle): whole bundles of maximal total trust under functional dependencies.
 
     A dependency (a, b) says that a value of bundle a fixes that of b: the chosen b must be one that some row
     of the group holds beside the chosen a, if any does. Scores are each bundle's ranks scaled to (0, 1] within the
-    group; ties go to the smaller row id. Only groups whose independent best rows clash are searched, and
+    group; ties go to the smaller row id. Groups whose independent best rows clash are searched, or without dependencies all of several rows, and
     they travel as distinct values, never as rows. A group with more than ``limit`` of these is solved by aggregation instead of a search. Null groups are left out; an empty input gives no rows.
     """
     rows = rows.where(F.col(group).isNotNull())
-    if not dependencies:
-        return best_rows(rows, group, row_id, bundles)
     names = [b.name for b in bundles]
     # one narrow pass: what each bundle of a row is worth
     valued = materialize(rows.select(group, row_id, *[F.struct(b.rank.cast("double").alias("r"), b.value.cast("string").alias("v")).alias(b.name) for b in bundles]))
@@ -115,23 +124,22 @@ def best_bundles(rows: DataFrame, group: str, row_id: str, bundles: Sequence[Bun
         *[F.max(F.when(b.rank.isNotNull(), F.struct(b.rank.alias("r"), (-F.col(row_id)).alias("i"), b.value.alias("v")))).alias(f"_{b.name}") for b in plain],
     )
     top = materialize(top)
-    # a group clashes when its best a stands beside some b, and never beside its best b
-    one = lambda c: F.max(c.cast("int")) == 1
-    held = valued.join(top.select(group, *[F.col(f"_{x}.v").alias(f"_v_{x}") for x in {y for d in dependencies for y in d}]), group)
-    bad = F.lit(False)
-    for a, b in dependencies:
-        beside = F.col(f"{a}.v").eqNullSafe(F.col(f"_v_{a}")) & F.col(f"{a}.v").isNotNull() & F.col(f"{b}.v").isNotNull()
-        bad = bad | (F.coalesce(one(beside), F.lit(False)) & F.max(F.col(f"_v_{b}")).isNotNull() & ~F.coalesce(one(beside & (F.col(f"{b}.v") == F.col(f"_v_{b}"))), F.lit(False)))
-    clash = materialize(held.groupBy(group).agg(bad.alias("bad")).where("bad").select(group))
+    if not dependencies:
+        clash = top.where("n > 1").select(group)
+    else:
+        clash = materialize(_clashing(valued, top, group, dependencies))
     root = top.select(group, "n", "first_id", *[F.coalesce(-F.col(f"_{x}.i"), F.lit(0)).cast("long").alias(x) for x in names])
     inside = valued.join(clash, group)
     # candidates, one a distinct value, with their scores
     long = inside.select(group, F.explode(F.array(*[F.struct(F.lit(k).alias("a"), F.col(f"{x}.r").alias("r"), F.col(f"{x}.v").alias("x"), F.col(row_id).alias("i")) for k, x in enumerate(names)])).alias("c")).select(group, "c.*")
     best = long.where("r is not null").groupBy(group, "a", "x").agg(F.max(F.struct("r", (-F.col("i")).alias("i"))).alias("m")).select(group, "a", "x", F.col("m.r").alias("r"), (-F.col("m.i")).alias("i"))
     candidates = materialize(scored(best, group))
-    each = F.array(*[F.struct(F.lit(names.index(a)).alias("a"), F.lit(names.index(b)).alias("b"), F.col(f"{a}.v").alias("x"), F.col(f"{b}.v").alias("y")) for a, b in dependencies])
-    seen = materialize(inside.select(group, F.explode(each).alias("s")).select(group, "s.*").where("x is not null and y is not null").distinct())
-    facts = candidates.select(group, "a", F.lit(-1).alias("b"), "x", F.lit(None).cast("string").alias("y"), "score", "i").unionByName(seen.select(group, "a", "b", "x", "y", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("i")))
+    facts = candidates.select(group, "a", F.lit(-1).alias("b"), "x", F.lit(None).cast("string").alias("y"), "score", "i")
+    seen = None
+    if dependencies:
+        each = F.array(*[F.struct(F.lit(names.index(a)).alias("a"), F.lit(names.index(b)).alias("b"), F.col(f"{a}.v").alias("x"), F.col(f"{b}.v").alias("y")) for a, b in dependencies])
+        seen = materialize(inside.select(group, F.explode(each).alias("s")).select(group, "s.*").where("x is not null and y is not null").distinct())
+        facts = facts.unionByName(seen.select(group, "a", "b", "x", "y", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("i")))
     sizes = facts.groupBy(group).agg(F.count("*").alias("size"))
     small = sizes.where(F.col("size") <= limit).select(group)
     n, kind = len(bundles), rows.schema[group].dataType.simpleString()
@@ -152,8 +160,9 @@ def best_bundles(rows: DataFrame, group: str, row_id: str, bundles: Sequence[Bun
     searched = facts.join(small, group, "left_semi").groupBy(group).applyInPandas(solve, f"{group} {kind}, " + ", ".join(f"{x} long" for x in names))
     if sizes.where(F.col("size") > limit).limit(1).count():
         large = sizes.where(F.col("size") > limit).select(group)
-        searched = searched.unionByName(_aggregated(candidates.join(large, group, "left_semi"), seen.join(large, group, "left_semi"), large, group, names, dependencies))
-    redone = root.select(group, "n", "first_id").join(searched, group)
+        searched = searched.unionByName(_aggregated(candidates.join(large, group, "left_semi"), seen and seen.join(large, group, "left_semi"), large, group, names, dependencies))
+    # a group without any candidate has nothing to search
+    redone = root.select(group, "n", "first_id").join(clash, group).join(searched, group, "left").fillna(0, names)
     return root.join(clash, group, "left_anti").unionByName(redone)
 
 
@@ -169,18 +178,30 @@ def scored(candidates: DataFrame, group: str) -> DataFrame:
     return candidates.join(numbered, [group, "a", "r"])
 
 
-def _aggregated(candidates: DataFrame, seen: DataFrame, groups: DataFrame, group: str, names: Sequence[str], dependencies: Sequence[tuple[str, str]]) -> DataFrame:
-    """The same optimum by joins and aggregates, for one dependency: of every value of a, the best b that it allows, and of these pairs the best.
+def _aggregated(candidates: DataFrame, seen: DataFrame | None, groups: DataFrame, group: str, names: Sequence[str], dependencies: Sequence[tuple[str, str]]) -> DataFrame:
+    """The same optimum by joins and aggregates, for one dependency or none: of every value of a, the best b that it allows, and of these pairs the best.
 
     No group is held in a task. Several dependencies at once are an error.
     """
     if len(dependencies) > 1:
         raise ValueError("a group of so many candidates is solved for one dependency only")
-    ka, kb = (names.index(x) for x in dependencies[0])
     # a bundle may stay empty, at score 0, after all others
     empty = lambda k: groups.select(group, F.lit(k).alias("a"), F.lit(None).cast("string").alias("x"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("i"))
     of = lambda k: candidates.where(F.col("a") == k).select(group, "a", "x", "score", "i").unionByName(empty(k))
     order = F.struct("score", F.when(F.col("i") > 0, -F.col("i")).otherwise(F.lit(-(2**62))).alias("o"), "i")
+    ka = kb = -1
+    out = groups.select(group)
+    if dependencies:
+        ka, kb = (names.index(x) for x in dependencies[0])
+        out = _tied(candidates, seen, group, names, ka, kb, of, order)
+    for k, name in enumerate(names):
+        if k not in (ka, kb):
+            out = out.join(of(k).groupBy(group).agg(F.max(order).alias("_m")).select(group, F.col("_m.i").alias(name)), group)
+    return out.select(group, *names)
+
+
+def _tied(candidates: DataFrame, seen: DataFrame, group: str, names: Sequence[str], ka: int, kb: int, of: Callable[[int], DataFrame], order: Column) -> DataFrame:
+    """The rows of two bundles, the first of which fixes the second."""
     best = of(kb).groupBy(group).agg(F.max(order).alias("free"))
     allowed = seen.join(candidates.where(F.col("a") == kb).select(group, F.col("x").alias("y"), "score", "i"), [group, "y"], "left").groupBy(group, "x").agg(F.max(F.when(F.col("i").isNotNull(), order)).alias("tied"))
     nothing = F.struct(F.lit(0.0).alias("score"), F.lit(-(2**62)).alias("o"), F.lit(0).cast("long").alias("i"))
@@ -189,11 +210,7 @@ def _aggregated(candidates: DataFrame, seen: DataFrame, groups: DataFrame, group
     own = F.struct("score", F.when(F.col("i") > 0, -F.col("i")).otherwise(F.lit(-(2**62))).alias("o"), "i")
     first, second = (own, F.col("other")) if ka < kb else (F.col("other"), own)
     top = pairs.select(group, F.struct((F.col("score") + F.col("other.score")).alias("t"), first.alias("p"), second.alias("q"), F.col("i").alias("ia"), F.col("other.i").alias("ib")).alias("m")).groupBy(group).agg(F.max("m").alias("m"))
-    out = top.select(group, F.col("m.ia").alias(names[ka]), F.col("m.ib").alias(names[kb]))
-    for k, name in enumerate(names):
-        if k not in (ka, kb):
-            out = out.join(of(k).groupBy(group).agg(F.max(order).alias("_m")).select(group, F.col("_m.i").alias(name)), group)
-    return out.select(group, *names)
+    return top.select(group, F.col("m.ia").alias(names[ka]), F.col("m.ib").alias(names[kb]))
 
 
 def built(rows: DataFrame, group: str, row_id: str, chosen: DataFrame, fields: dict[str, Sequence[str]]) -> DataFrame:

@@ -259,6 +259,20 @@ def test_large_groups_by_aggregation(spark):
         best_record.best_bundles(df, "key", "row_id", b, [("x", "d"), ("d", "z")], 0).count()
 
 
+def test_groups_without_dependencies_are_searched(spark):
+    rng = random.Random(23)
+    rows = [(f"g{g}", i + 100 * g, rng.choice([None, rng.randrange(4)]), f"d{rng.randrange(3)}", rng.choice([None, rng.randrange(2)]), f"x{rng.randrange(3)}") for g in range(40) for i in range(1, rng.randrange(2, 12))]
+    rows += [("none", 9001, None, "d", None, None), ("none", 9002, None, None, None, "x")]
+    df = spark.createDataFrame(rows, "key string, row_id long, chars int, doc string, trust int, xsum string")
+    b = [best_record.Bundle("d", F.col("chars"), F.col("doc")), best_record.Bundle("x", F.col("trust"), F.col("xsum"))]
+    want = {r["key"]: tuple(r) for r in best_record.best_rows(df, "key", "row_id", b).select("key", "n", "first_id", "d", "x").collect()}
+    for limit in (10**6, 0):
+        assert {r["key"]: tuple(r) for r in best_record.best_bundles(df, "key", "row_id", b, limit=limit).select("key", "n", "first_id", "d", "x").collect()} == want
+    # the rows come from the search
+    plan = best_record.best_bundles(df, "key", "row_id", b)._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandas" in plan
+
+
 def test_lookup_keeps_rows_without_a_key(spark):
     left = spark.createDataFrame([(1, "a"), (2, None), (3, "b"), (4, "a")], "id long, k string")
     right = spark.createDataFrame([("a", 7), ("c", 8)], "k string, v int")
