@@ -9,9 +9,9 @@ its perplexity under the same model with a cache of the window's own words is ab
 same few keywords again and again). Names and numbers are context that the trigrams don't score, and names enter the cache only where
 there are hardly any figures, so lists of results give no evidence. A page is flagged when more than half of its characters lie in windows that are no prose.
 
-Model and bounds are fitted on a bounded sample of prose (``FIT_CHARS`` characters of a
-table given by the caller). The bounds are functions of the number of tokens scored: the ``TAIL`` quantiles of all
-fragments of so many tokens, so that a few words can't convict a page, without a cut-off by length. The sample is taken as
+Model and bounds are fitted on all prose of a table given by the caller, in two passes: counts first, then the
+fragments' order statistics, of which a task keeps those of the tail only. The bounds are functions of the number of tokens scored: the ``TAIL`` quantiles of all
+fragments of so many tokens, so that a few words can't convict a page, without a cut-off by length. The prose is taken as
 it is and in lower case without marks. Every page is scored whole, in Arrow batches, without a shuffle.
 """
 
@@ -22,11 +22,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bound on the characters of prose that the model is fitted on.
-FIT_CHARS = 4_000_000
 #: Words of a window; lines of fewer than SHORT tokens are joined with their like.
 WINDOW, SHORT = 40, 12
 #: Tokens that the shorter context counts for in a longer one.
@@ -142,29 +140,22 @@ def _repeats(words: list[str]) -> np.ndarray:
 class ProseModel:
     """Interpolated class trigrams and a cache of words, with the bounds of what prose does."""
 
-    def __init__(self, texts: list[str], tail: float = TAIL) -> None:
-        three, words = np.zeros(_N**3), {}
-        parsed = []
-        for t in [*texts, *(" ".join(_PLAIN.findall(t.lower())) for t in texts)]:
-            tokens = _TOKEN.findall(t)
-            classes = _classes(tokens)
-            parsed.append((tokens, classes))
-            np.add.at(three, (classes[:-2] * _N + classes[1:-1]) * _N + classes[2:], 1)
-            for k in np.flatnonzero(classes == _ID["lower"]).tolist():
-                words[tokens[k]] = words.get(tokens[k], 0) + 1
+    def __init__(self, three: np.ndarray, words: dict[int, int]) -> None:
+        """three: counts of class trigrams; words: how many lower-case words occur so many times. ``high`` and ``low`` are set by ``fit``."""
         three = three.reshape(_N, _N, _N)
         two, one = three.sum(axis=0), three.sum(axis=(0, 1))
         p1 = (one + 0.5) / (one.sum() + 0.5 * _N)
-        # which closed classes are frequent is a matter of style, and the sample's style isn't all prose
+        # which closed classes are frequent is a matter of style, and one table's style isn't all prose
         p1[: len(GROUPS)] = p1[: len(GROUPS)].mean()
         p2 = (two + PRIOR * p1) / (two.sum(axis=1, keepdims=True) + PRIOR)
         p3 = (three + PRIOR * p2[None]) / (three.sum(axis=2, keepdims=True) + PRIOR)
-        freq = np.array(list(words.values()) or [1]) / max(1, sum(words.values()))
+        times, many = (np.array(x, np.float64) for x in zip(*sorted(words.items() or [(1, 1)]), strict=True))
+        freq = times / (times * many).sum()
         #: mean cost of a word of an open class
-        self.open = float(-(freq * np.log(freq)).sum())
+        self.open = float(-(many * freq * np.log(freq)).sum())
         extra = np.where(_OPEN, self.open, 0)
         self.costs = [np.where(_SCORED, -np.log(p) + extra, 0).ravel() for p in (p1, p2, p3)]
-        self.high, self.low = self._bounds(parsed, tail)
+        self.high, self.low = np.full(len(SIZES), np.inf), np.full(len(SIZES), -np.inf)
 
     def _token_costs(self, classes: np.ndarray) -> list[np.ndarray]:
         """Cost of each token as the first, the second and a later one of a window."""
@@ -178,26 +169,34 @@ class ProseModel:
         r = _repeats(words)
         return float(-np.log(CACHE * r + (1 - CACHE) * np.exp(-self.open)).mean()), float((r > 0).mean())
 
-    def _bounds(self, parsed: list, tail: float) -> tuple[np.ndarray, np.ndarray]:
-        """For each of SIZES the highest mean cost of scored tokens, and the lowest of cached words, of fragments of the prose."""
-        high: list[list[np.ndarray]] = [[] for _ in SIZES]
-        low: list[list[float]] = [[] for _ in SIZES]
-        for tokens, classes in parsed:
-            first, second, later = self._token_costs(classes)
-            total = np.concatenate([[0.0], np.cumsum(later)])
-            at = np.flatnonzero(_SCORED[classes])
-            edge = first - later
-            edge[:-1] += (second - later)[1:]
-            own = [tokens[k].lower() for k in np.flatnonzero(_CACHED[classes]).tolist()]
-            for k, n in enumerate(SIZES):
-                if len(at) >= n:
-                    s, e = at[: len(at) - n + 1], at[n - 1 :] + 1
-                    high[k].append((total[e] - total[s] + np.where(e - s > 1, edge[s], (first - later)[s])) / n)
-                for s in range(0, len(own) - n + 1, 1 + n // 2):
-                    low[k].append(self._cached_costs(own[s : s + n])[0])
-        top = np.array([np.quantile(np.concatenate(h), 1 - tail) if h else np.inf for h in high])
-        bottom = np.array([np.quantile(x, tail) if x else -np.inf for x in low])
-        return np.minimum.accumulate(top), bottom
+    def fragments(self, tokens: list[str], classes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(side, place in SIZES, values) of all fragments: side 0 the mean costs of scored tokens, negated, and side 1 those of cached words."""
+        first, second, later = self._token_costs(classes)
+        total = np.concatenate([[0.0], np.cumsum(later)])
+        at = np.flatnonzero(_SCORED[classes])
+        edge = first - later
+        edge[:-1] += (second - later)[1:]
+        for k, n in enumerate(SIZES):
+            if len(at) >= n:
+                s, e = at[: len(at) - n + 1], at[n - 1 :] + 1
+                yield 0, k, -(total[e] - total[s] + np.where(e - s > 1, edge[s], (first - later)[s])) / n
+        own = [tokens[k].lower() for k in np.flatnonzero(_CACHED[classes]).tolist()]
+        most, step = SIZES[-1], 4096
+        word = np.unique(own, return_inverse=True)[1] if own else np.empty(0, np.int64)
+        for a in range(0, len(own), step):
+            ids = word[a : a + step + most]
+            # of each word, how many of the d words before it are the same
+            same = np.zeros((len(ids) + most, most), np.int64)
+            for d in range(1, min(most, len(ids))):
+                same[d : len(ids), d] = ids[d:] == ids[:-d]
+            k = np.arange(most)
+            starts = np.arange(min(step, len(ids)))
+            again = same.cumsum(axis=1)[starts[:, None] + k, k] / np.maximum(k, 1)
+            cost = -np.log(CACHE * again + (1 - CACHE) * np.exp(-self.open)).cumsum(axis=1)
+            for j, n in enumerate(SIZES):
+                whole = starts + a + n <= len(own)
+                if whole.any():
+                    yield 1, j, cost[whole, n - 1] / n
 
     def scores(self, tokens: list[str], classes: np.ndarray) -> list[tuple[int, int, float, float, float, int, int]]:
         """Per window: first, end, mean cost of its scored tokens, mean cost of its words under the cache, share of them that are repeats, and the number of each."""
@@ -230,16 +229,78 @@ class ProseModel:
         return float((ends[b] - ends[a])[bad].sum() / ends[-1]), float(cost.max()), float(own.min())
 
 
-def fit(prose: DataFrame, text_col: str, limit_chars: int = FIT_CHARS) -> ProseModel:
-    """A model of the prose in ``text_col``, of at most ``limit_chars`` characters in the order of their hashes."""
-    rows = prose.select(F.col(text_col).cast("string").alias("t")).where(F.length("t") > 0).orderBy(F.xxhash64("t"), "t")
-    texts, size = [], 0
-    for r in rows.limit(limit_chars // 20).toLocalIterator():
-        texts.append(r["t"])
-        size += len(r["t"])
-        if size > limit_chars:
-            break
-    return ProseModel(texts)
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Tokens and classes of each text, as it is and in lower case without marks."""
+    for batch in batches:
+        for t in batch.column("t").to_pylist():
+            for x in (t, " ".join(_PLAIN.findall(t.lower()))):
+                tokens = _TOKEN.findall(x)
+                yield tokens, _classes(tokens)
+
+
+def fit(prose: DataFrame, text_col: str, tail: float = TAIL) -> ProseModel:
+    """A model of all prose in ``text_col``, counted where it lies. Null and empty texts are left out; a table without prose has no bounds."""
+    rows = prose.select(F.col(text_col).cast("string").alias("t")).where(F.length("t") > 0)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        three, number, words = np.zeros(_N**3, np.int64), np.zeros(2 * len(SIZES), np.int64), {}
+
+        def told() -> pa.RecordBatch:
+            n = len(words)
+            out = pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.array(np.zeros(n, np.int64)), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["kind", "at", "word", "n"])
+            words.clear()
+            return out
+
+        for tokens, classes in _parsed(batches):
+            np.add.at(three, (classes[:-2] * _N + classes[1:-1]) * _N + classes[2:], 1)
+            for side, own in ((0, _SCORED), (1, _CACHED)):
+                number[side * len(SIZES) : (side + 1) * len(SIZES)] += np.maximum(0, own[classes].sum() - np.array(SIZES) + 1)
+            for k in np.flatnonzero(classes == _ID["lower"]).tolist():
+                words[tokens[k]] = words.get(tokens[k], 0) + 1
+            if len(words) > 500_000:
+                yield told()
+        yield told()
+        for kind, x in ((0, three), (2, number)):
+            at = np.flatnonzero(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at), pa.nulls(len(at), pa.string()), pa.array(x[at])], ["kind", "at", "word", "n"])
+
+    counts = rows.mapInArrow(count, "kind int, at long, word string, n long").groupBy("kind", "at", "word").agg(F.sum("n").alias("n"))
+    # of the words, only how many occur so many times reaches the driver
+    word = F.col("kind") == 1
+    counts = counts.select("kind", F.when(word, F.col("n")).otherwise(F.col("at")).alias("at"), F.when(word, F.lit(1)).otherwise(F.col("n")).alias("n")).groupBy("kind", "at").agg(F.sum("n").alias("n")).collect()
+    three, number = np.zeros(_N**3), np.zeros(2 * len(SIZES), np.int64)
+    for r in counts:
+        if r["kind"] != 1:
+            (three if r["kind"] == 0 else number)[r["at"]] = r["n"]
+    model = ProseModel(three, {r["at"]: r["n"] for r in counts if r["kind"] == 1})
+    place = np.maximum(number - 1, 0) * tail
+    least = np.floor(place).astype(np.int64)
+
+    def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[list[np.ndarray]] = [[] for _ in number]
+
+        def cut(k: int) -> np.ndarray:
+            return np.sort(np.concatenate(kept[k]))[: least[k] + 2] if kept[k] else np.empty(0)
+
+        for n, (tokens, classes) in enumerate(_parsed(batches)):
+            for side, j, x in model.fragments(tokens, classes):
+                kept[side * len(SIZES) + j].append(x)
+            if n % 256 == 255:
+                kept = [[cut(k)] for k in range(len(kept))]
+        for k in range(len(kept)):
+            x = cut(k)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k, np.int32)), pa.array(x, pa.float64())], ["k", "x"])
+
+    ranked = rows.mapInArrow(tails, "k int, x double").withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy("x")))
+    wanted = F.element_at(F.array(*[F.lit(int(x)) for x in least]), F.col("k") + 1)
+    found = {(r["k"], r["rank"] - 1): r["x"] for r in ranked.where((F.col("rank") - 1 == wanted) | (F.col("rank") - 2 == wanted)).collect()}
+    bounds = np.full(len(number), -np.inf)
+    for k, n in enumerate(number.tolist()):
+        if n:
+            low = found[k, int(least[k])]
+            bounds[k] = low + (found.get((k, int(least[k]) + 1), low) - low) * (place[k] - least[k])
+    model.high, model.low = np.minimum.accumulate(-bounds[: len(SIZES)]), bounds[len(SIZES) :]
+    return model
 
 
 def page_scores(pages: DataFrame, id_col: str, text_col: str, model: ProseModel) -> DataFrame:

@@ -254,6 +254,21 @@ def test_bounds_follow_the_number_of_tokens(spark, small):
     assert flagged == [False, False, False, True]
 
 
+def test_model_is_fitted_on_all_fragments(spark, small):
+    rows = [r["document_norm"] for r in spark.read.parquet(f"{small}/master_table_xsum_n300_seed42_v4_dcq4_frozen.parquet").limit(12).collect()]
+    df = spark.createDataFrame([(t,) for t in [*rows, None, ""]], "t string").repartition(3)
+    model = page_prose.fit(df, "t", 0.01)
+    low = [[] for _ in page_prose.SIZES]
+    for t in filter(None, rows):
+        for x in (t, " ".join(page_prose._PLAIN.findall(t.lower()))):
+            tokens = page_prose._TOKEN.findall(x)
+            own = [w.lower() for w, c in zip(tokens, page_prose._classes(tokens), strict=True) if page_prose._CACHED[c]]
+            for k, n in enumerate(page_prose.SIZES):
+                low[k] += [model._cached_costs(own[s : s + n])[0] for s in range(len(own) - n + 1)]
+    assert np.allclose(model.low, [np.quantile(x, 0.01) for x in low])
+    page_prose.fit(df.limit(0), "t")
+
+
 def test_repeated_names_are_keywords(spark, small):
     model = prose_model(spark, small)
     results = "Results\n" + "\n".join(f"Townham {i}-{i % 3} Cityford" for i in range(30))
